@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.periods import iso_year_week
+from tallyloom.operators.drift import schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
 from tallyloom.operators.spikes import implausible_readings
+from tallyloom.operators.units import contents
 from tallyloom.session import table
 
 UNITS = {"qty_sold": 1, "sales_rub": 100}
@@ -39,11 +41,29 @@ def p2_hampel_rolling(spark: SparkSession, folder: str) -> DataFrame:
     return implausible_readings(table(spark, folder, "sales"), half_window=13)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns added, removed, renamed or retyped against the file of the feed received before."""
+    return schema_changes(table(spark, folder, "raw_extracts")).select("file_id", "field", "change")
+
+
+def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines of all files in one table of canonical fields."""
+    return unified(table(spark, folder, "raw_extracts"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The content of every listing that states one, in millilitres, grams or pieces."""
+    return contents(table(spark, folder, "listings")).filter("amount is not null").select("listing_id", "amount", "base_unit").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_rolling_totals": p1_rolling_totals,
     "p2_found": p2_found,
     "p2_hampel_rolling": p2_hampel_rolling,
+    "p4_found": p4_found,
+    "p4_unified": p4_unified,
+    "p5_found": p5_found,
 }
 
 #: Weekly series as the task states them: digits of the week text, its own year first.
@@ -66,11 +86,11 @@ t as (select *, sum(q) over w4 q4, sum(s) over w4 s4, sum(q) over w13 q13, sum(s
 
 ORACLE = {
     "p1_rolling_totals": _ROLLING
-    + """ select isoyear(monday)::int "year", weekofyear(monday)::int week, store_code, item_code, age::int age, q::double qty_sold, s / 100.0::double sales_rub,
+    + """ select isoyear(monday)::int "year", weekofyear(monday)::int "week", store_code, item_code, age::int age, q::double qty_sold, s / 100.0::double sales_rub,
  q4::double qty_sold_total_4, s4::double / 100 sales_rub_total_4, q13::double qty_sold_total_13, s13::double / 100 sales_rub_total_13,
  q4::double / 4 qty_sold_avg_4, s4::double / 400 sales_rub_avg_4, q13::double / 13 qty_sold_avg_13, s13::double / 1300 sales_rub_avg_13 from t""",
     "p1_found": _ROLLING
-    + """ select store_code, item_code, isoyear(monday)::int "year", weekofyear(monday)::int week from t
+    + """ select store_code, item_code, isoyear(monday)::int "year", weekofyear(monday)::int "week" from t
  where age >= 13 and q13 > 0 and s13 > 0 and q4 * 13 > q13 * 8 and s4 * 13 > s13 * 8""",
     "p2_found": f"""with {_WEEKS},
 last as (select store_code, item_code, week_no, arg_max(struct_pack(q := qty_sold, s := sales_rub, c := cost_rub), (loaded_at, row_id)) v,
