@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.groups import connected_groups, decided_pairs
+from tallyloom.llm.lookalike import canonical, look_alike_pairs
 from tallyloom.session import table
 
 
@@ -15,7 +16,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("name_id"), "group_id")
 
 
-QUERIES = {"p6_found": p6_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that look the same but differ in characters."""
+    return look_alike_pairs(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its class of look-alike texts and the text that stands for the class."""
+    return canonical(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p10_found": p10_found,
+    "p10_canonical": p10_canonical,
+}
 
 ORACLE = {
     "p6_found": """with recursive sp as (select s, min(i) i from (select trim(item_name) s, name_id i from name_matches union all select trim(canonical_name), canonical_id from name_matches)
