@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.groups import connected_groups, decided_pairs
+from tallyloom.llm.encode import encoded
+from tallyloom.llm.leaks import leaked_items
 from tallyloom.llm.lookalike import canonical, look_alike_pairs
 from tallyloom.session import table
 
@@ -16,6 +18,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("name_id"), "group_id")
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its ids by byte_bpe_50k."""
+    return encoded(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation item, with the item."""
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but differ in characters."""
     return look_alike_pairs(table(spark, folder, "documents"), "doc_id", "text")
@@ -28,6 +40,8 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_canonical": p10_canonical,
 }
