@@ -9,9 +9,20 @@ from tallyloom.llm.groups import connected_groups, decided_pairs
 from tallyloom.llm.encode import encoded
 from tallyloom.llm.leaks import leaked_items
 from tallyloom.llm.lookalike import canonical, look_alike_pairs
+from tallyloom.llm.places import pairs_of, same_building
 from tallyloom.session import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of store records in the same building."""
+    return pairs_of(same_building(table(spark, folder, "stores")), "store_code", "building")
+
+
+def p3_buildings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every store record with a usable address and its building."""
+    return same_building(table(spark, folder, "stores"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every name that is tied to another one, with the smallest id of its group."""
     groups = connected_groups(decided_pairs(table(spark, folder, "name_matches")), "a", "b")
@@ -39,6 +50,8 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_buildings": p3_buildings,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
