@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Iterations at most, and the change of the share of matches at which they stop.
-ITERATIONS, CLOSE = 200, 1e-7
+ITERATIONS, CLOSE = 500, 1e-6
 
 
 def level(*cases: tuple[str, Column], otherwise: str = "differ") -> Column:
@@ -33,39 +33,52 @@ def near(a: Column, b: Column) -> Column:
     return (F.length(a) >= 5) & (F.length(b) >= 5) & ((d.between(0, 1)) | swapped)
 
 
-def fit(patterns: Sequence[tuple[tuple[str, ...], int]], agreeing: Sequence[str], share: float) -> dict[tuple[str, ...], float]:
-    """Probability of a match for each pattern of levels.
+@dataclass
+class Weights:
+    """Share of matches and, for each field, the share of each level among matches and among the rest."""
 
-    ``patterns`` are the different patterns with the number of pairs; ``agreeing`` are the names of levels that speak for a match, from which
-    the first guess is made; ``share`` is the first guess of the share of matches. A missing value is a level of its own with its own
-    weight. Fields are taken as independent within matches and non-matches. No patterns give no probabilities.
+    share: float
+    m: list[dict[str, float]]
+    u: list[dict[str, float]]
+    silent: tuple[str, ...] = ()
+
+    def bits(self, pattern: Sequence[str]) -> float:
+        """Weight of the evidence for a match, in bits; a silent level or one never seen says nothing."""
+        return sum(math.log2(m[v] / u[v]) for v, m, u in zip(pattern, self.m, self.u) if v not in self.silent and v in m)
+
+    def probability(self, pattern: Sequence[str]) -> float:
+        """Probability of a match."""
+        odds = self.bits(pattern) * math.log(2) + math.log(self.share) - math.log1p(-self.share)
+        return 1 / (1 + math.exp(max(-700.0, min(700.0, -odds))))
+
+
+def fit(patterns: Sequence[tuple[tuple[str, ...], int]], agreeing: Sequence[str], share: float, silent: tuple[str, ...] = ()) -> Weights:
+    """Weights by expectation-maximisation over ``patterns``, the different patterns of levels with their numbers of pairs.
+
+    ``agreeing`` are the levels that speak for a match, from which the first guess is made; ``share`` is the first guess of the share of
+    matches. A missing value is a level of its own with its own weight, unless ``silent`` names it. Fields are taken as independent
+    within matches and within the rest.
     """
-    if not patterns:
-        return {}
     fields = range(len(patterns[0][0]))
-    levels = [sorted({p[f] for p, _ in patterns}) for f in fields]
-    m = [{v: 0.9 if v in agreeing else 0.1 for v in levels[f]} for f in fields]
-    u = [{v: 0.2 if v in agreeing else 0.8 for v in levels[f]} for f in fields]
-    posterior: dict[tuple[str, ...], float] = {}
+    levels = [sorted({p[f] for p, _ in patterns} - set(silent)) for f in fields]
+    w = Weights(share, [{v: 0.9 if v in agreeing else 0.1 for v in vs} for vs in levels], [{v: 0.2 if v in agreeing else 0.8 for v in vs} for vs in levels], silent)
+    total = sum(n for _, n in patterns)
     for _ in range(ITERATIONS):
-        for p, _n in patterns:
-            a = math.log(share) + sum(math.log(m[f][p[f]]) for f in fields)
-            b = math.log1p(-share) + sum(math.log(u[f][p[f]]) for f in fields)
-            posterior[p] = 1 / (1 + math.exp(min(700, b - a)))
-        total = sum(n for _, n in patterns)
-        matched = sum(n * posterior[p] for p, n in patterns)
-        for weights, part in ((m, lambda p: posterior[p]), (u, lambda p: 1 - posterior[p])):
-            for f in fields:
-                sums: dict[str, float] = defaultdict(lambda: 1e-3)
-                for p, n in patterns:
-                    sums[p[f]] += n * part(p)
-                whole = sum(sums[v] for v in levels[f])
-                weights[f] = {v: sums[v] / whole for v in levels[f]}
-        new = min(max(matched / total, 1e-6), 1 - 1e-6)
-        if abs(new - share) < CLOSE:
+        matched = [(p, n, n * w.probability(p)) for p, n in patterns]
+        for f in fields:
+            for weights, part in ((w.m, lambda n, x: x), (w.u, lambda n, x: n - x)):
+                sums = {v: 1e-3 for v in levels[f]}
+                for p, n, x in matched:
+                    if p[f] in sums:
+                        sums[p[f]] += part(n, x)
+                whole = sum(sums.values())
+                weights[f] = {v: s / whole for v, s in sums.items()}
+        new = min(max(sum(x for _, _, x in matched) / total, 1e-9), 1 - 1e-9)
+        close = abs(new - w.share) < CLOSE * new
+        w.share = new
+        if close:
             break
-        share = new
-    return posterior
+    return w
 
 
 def with_probability(pairs: DataFrame, fields: Sequence[str], agreeing: Sequence[str], share: float = 0.2) -> DataFrame:
@@ -75,9 +88,9 @@ def with_probability(pairs: DataFrame, fields: Sequence[str], agreeing: Sequence
     that goes back has as many rows, and is therefore broadcast.
     """
     counts = [(tuple(r[f] for f in fields), r["count"]) for r in pairs.groupBy(*fields).count().collect()]
-    fitted = fit(counts, agreeing, share)
-    if not fitted:
+    if not counts:
         return pairs.withColumn("probability", F.lit(None).cast("double"))
+    weights = fit(counts, agreeing, share)
     schema = ", ".join(f"{f} string" for f in fields) + ", probability double"
-    table = pairs.sparkSession.createDataFrame([(*p, q) for p, q in fitted.items()], schema)
+    table = pairs.sparkSession.createDataFrame([(*p, weights.probability(p)) for p, _ in counts], schema)
     return pairs.join(F.broadcast(table), list(fields))

@@ -10,6 +10,7 @@ from tallyloom.llm.encode import encoded
 from tallyloom.llm.leaks import leaked_items
 from tallyloom.llm.lookalike import canonical, look_alike_pairs
 from tallyloom.llm.places import pairs_of, same_building
+from tallyloom.llm.products import same_product
 from tallyloom.session import table
 
 
@@ -29,6 +30,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("name_id"), "group_id")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of listings of the same product."""
+    return pairs_of(same_product(table(spark, folder, "listings")), "listing_id", "product")
+
+
+def p7_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listing with its product."""
+    return same_product(table(spark, folder, "listings"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its ids by byte_bpe_50k."""
     return encoded(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
@@ -53,6 +64,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_buildings": p3_buildings,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_products": p7_products,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
