@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tallyloom.session import cut
 
 #: Rate of the exponential shifts: the smaller, the larger the clusters.
-BETA = 0.3
+BETA = 0.05
 #: Growth steps of a level.
-STEPS = 3
+STEPS = 4
 
 
 def shift(vertex: Column, level: int) -> Column:
@@ -65,7 +65,7 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     while levels:
         below = levels.pop()
         up = whole.select(F.col("id").alias("cluster"), F.col("cluster").alias("top"))
-        whole = below.join(up, "cluster", "left").select("id", F.coalesce("top", "cluster").alias("cluster"))
+        whole = cut(below.join(up, "cluster", "left").select("id", F.coalesce("top", "cluster").alias("cluster")))
     least = whole.groupBy("cluster").agg(F.min("id").alias("group_id"))
     return whole.join(least, "cluster").select("id", "group_id")
 
