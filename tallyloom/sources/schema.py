@@ -55,14 +55,7 @@ ALIASES = {
     "region": ["регион", "region", "reg", "рег", "регион продаж", "территория", "регион тт", "область"],
     "store_format": ["формат", "format", "тип магазина", "формат магазина", "формат тт"],
     "store_subformat": ["субформат", "subformat", "sub-format", "подформат", "суб-формат", "тип тт"],
-    "category_0": ["уровень 0", "уровень0", "level 0", "category_0", "cat0", "lvl0", "категория 0"],
-    "category_1": ["уровень 1", "уровень1", "категория 1", "level 1", "category_1", "cat1", "lvl1"],
-    "category_2": ["уровень 2", "уровень2", "категория 2", "level 2", "category_2", "cat2", "lvl2"],
-    "category_3": ["уровень 3", "уровень3", "категория 3", "level 3", "category_3", "cat3", "lvl3"],
-    "category_4": [
-        "уровень 4", "уровень4", "категория 4", "level 4", "category_4", "cat4", "lvl4", "subject", "предмет", "категория", "category",
-        "group", "группа", "подкатегория",
-    ],
+    **{f"category_{k}": [f"уровень {k}", f"уровень{k}", f"level {k}", f"category_{k}", f"cat{k}", f"lvl{k}", f"категория {k}"] for k in range(5)},
     "item_code": [
         "код позиции", "код товара", "sku", "item_code", "артикул", "арт", "код поз", "article", "product_id", "product_code", "код продукта",
     ],
@@ -89,6 +82,7 @@ ALIASES = {
         "себестоимость", "себестоимсть", "себестоимость в руб", "себестоимсть в руб", "cost_rub", "cost", "себес", "закупка", "закупочная цена",
     ],
 }
+ALIASES["category_4"] += ["subject", "предмет", "категория", "category", "group", "группа", "подкатегория"]
 #: Further names seen in extracts.
 MORE_ALIASES = {
     "store_name": ["название точки"],
