@@ -24,12 +24,12 @@ def char_grams(text: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:
 
     def of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        grams = [
-            F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(
-                F.array(padded) if n == sizes[0] else F.array().cast("array<string>")
-            )
-            for n in sizes
-        ]
+        def runs(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.length(padded) - n + 1)
+            short = F.array(padded) if n == sizes[0] else F.array().cast("array<string>")
+            return F.when(F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(short)
+
+        grams = [runs(n) for n in sizes]
         return F.concat(*grams)
 
     return F.flatten(F.transform(words, of))

@@ -99,7 +99,7 @@ def implausible_readings(
     * stuck: ``sales_rub`` or ``cost_rub`` the same to the kopeck over ``stuck_weeks`` recorded weeks, and ``qty_sold`` of
       the rows in which both are.
 
-    ``half_window=None`` takes the whole series for the median and the deviation. Null and non-finite readings are no case, nor
+    A reading has the first reason that holds of spike, sign, price, stuck. ``half_window=None`` takes the whole series for the median and the deviation. Null and non-finite readings are no case, nor
     are rows without store, item or readable week. A series whose median is 0 or null has no spikes.
     """
     profile = series_profile(sales, sigmas, stuck_weeks, half_window)
@@ -135,8 +135,8 @@ def implausible_readings(
                 F.when(
                     F.col(c).isNotNull(),
                     F.when(spike(c), F.struct(F.lit(c).alias("field"), F.lit("spike").alias("reason")))
-                    .when(F.lit(False) if c == "qty_sold" else cheap(c), F.struct(F.lit(c).alias("field"), F.lit("price").alias("reason")))
                     .when(sign(c), F.struct(F.lit(c).alias("field"), F.lit("sign").alias("reason")))
+                    .when(F.lit(False) if c == "qty_sold" else cheap(c), F.struct(F.lit(c).alias("field"), F.lit("price").alias("reason")))
                     .when(stuck[c], F.struct(F.lit(c).alias("field"), F.lit("stuck").alias("reason"))),
                 )
                 for c in fields

@@ -20,6 +20,11 @@ SUFFIXES = (".xlsx", ".xls", ".xlsm", ".xlsb", ".csv", ".tsv", ".parquet")
 HEAD = 4096
 
 
+#: The upper half of the Cyrillic code page: each byte as Latin-1 reads it, and what it means.
+_UPPER = [b for b in range(128, 256) if b != 0x98]
+_CP1251 = ("".join(map(chr, _UPPER)), bytes(_UPPER).decode("cp1251"))
+
+
 def encoding_of(head: bytes) -> str:
     """UTF-8 (with or without mark), else the Cyrillic code page, else Latin-1; a character cut off at the end does not count."""
     try:
@@ -55,8 +60,13 @@ def read_text_table(spark: SparkSession, path: str, separator: str | None = None
     head = head_of(spark, path)
     enc = encoding_of(head)
     text = head.decode({"UTF-8": "utf-8-sig", "windows-1251": "cp1251", "ISO-8859-1": "latin-1"}[enc], errors="ignore")
-    df = spark.read.csv(path, sep=separator or separator_of(text), header=True, inferSchema=True, encoding=enc, multiLine=enc != "UTF-8")
-    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
+    one_byte = enc == "windows-1251"  # not among Spark's encodings: read byte by byte, then the upper half is put right
+    df = spark.read.csv(path, sep=separator or separator_of(text), header=True, inferSchema=True, encoding="ISO-8859-1" if one_byte else enc)
+    if one_byte:
+        raw = [c.encode("latin-1", "replace").decode("cp1251", "replace") for c in df.columns]
+        kinds = dict(df.dtypes)
+        df = df.select(*(F.translate(f"`{c}`", *_CP1251).alias(n) if kinds[c] == "string" else F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, raw)))
+    return df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
