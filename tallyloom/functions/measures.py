@@ -58,7 +58,7 @@ NOISE = re.compile(
 )
 _TOKEN = re.compile(
     rf"(?P<count>№\s*\d+)|(?P<number>(?<![\w.,]){_NUMBER}|(?<=[xх×*])\s*{_NUMBER}|(?<![\d.,]){_NUMBER})\s*(?P<unit>(?:fl\.?\s*oz|{_WORDS})(?![a-zа-я]))?"
-    r"|(?P<times>(?<![a-zа-я])[xх×*](?![a-zа-я])|(?<![a-zа-я])по(?![a-zа-я]))"
+    r"|(?P<times>[*×]|(?<![a-zа-я])[xх](?![a-zа-я])|(?<![a-zа-я])по(?![a-zа-я]))"
 )
 
 
