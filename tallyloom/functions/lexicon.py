@@ -33,8 +33,8 @@ CONCEPTS = {
     # purposes, forms and size classes
     "white": "белого white", "color": "цветного color colour", "black": "черного black", "baby": "детского детское baby", "universal": "универсальный универс универсальн универсальное universal",
     "coarse": "крупная крупн крупнокристаллич крупнокристаллическая", "fine": "мелкая мелк", "granules": "гранулы гранулир гранулированная",
-    "eco": "эко eco", "phosphate_free": "бесфосфатные", "round": "круглые кругл", "oval": "овальные овал", "embossed": "тиснением тисн",
-    "pattern": "рисунком рис", "still": "негазированная негаз н/газ", "sparkling": "газированная газ", "gas": "газа газом", "bucket": "ведро ведре", "pack": "пачка пачке",
+    "eco": "эко eco", "phosphate_free": "бесфосфатные", "round": "круглые кругл", "oval": "овальные овал", "embossed": "тиснением тисн рисунком рис",
+    "still": "негазированная негаз н/газ", "sparkling": "газированная газ", "gas": "газа газом", "bucket": "ведро ведре", "pack": "пачка пачке",
     "two_ply": "двухслойный двухслойная", "three_ply": "трехслойный трехслойная",
     "size_s": "s", "size_m": "m", "size_l": "l", "size_xl": "xl",
 }
