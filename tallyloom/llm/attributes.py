@@ -35,7 +35,7 @@ _VARIETIES = {
     "laundry_gel": ("white", "color", "black", "baby", "universal"), "laundry_powder": ("white", "color", "black", "baby", "universal"),
     "dishwasher_salt": ("coarse", "fine", "granules"), "tablets": (*SCENTS, "eco"), "soda": ("bucket", "pack"), "water": ("still", "sparkling"),
     "diapers": ("size_s", "size_m", "size_l", "size_xl"), "cotton_pads": (*SCENTS, "round", "oval"),
-    "toilet_paper": (*SCENTS, "two_ply", "three_ply", "embossed", "pattern"),
+    "toilet_paper": (*SCENTS, "two_ply", "three_ply", "embossed"),
 }
 _LAYERS = re.compile(r"(?<!\d)([23])\s*-?\s*сл(?:о[йяе]\w*|ойн\w*)?(?![а-я])")
 

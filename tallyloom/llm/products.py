@@ -17,7 +17,7 @@ from tallyloom.session import cut
 #: What a product is told by.
 TRAITS = ["brand", "kind", "variety", "amount", "base", "pieces"]
 #: Evidence, in bits, from which a pair is a link.
-LEAST_BITS = 3.0
+LEAST_BITS = 2.0
 _SCHEMA = "brand string, kind string, variety string, line string, amount double, base string, pieces double, bare double"
 
 

@@ -193,11 +193,11 @@ def test_products(spark):
         (1, 11, "Жидкое мыло Альфа лимон 500 мл", "Альфа", "a_1"), (2, 21, "LIQUID SOAP LEMON 0,5 l хит", "ALFA", "b_1"), (3, 31, "Альфа мыло жидк. с лимоном", "Альфа", "c_1"), (4, 41, "Жидкое мыло Альфа мята 500 мл", "Альфа", "a_1"), (5, 51, "Жидкое мыло Альфа мята 250 мл", "Альфа", "a_1"),
         (6, 61, "Жидкое мыло Альфа мята", "Альфа", "b_1"), (7, 61, "Жидкое мыло Альфа мята", "Альфа", "b_1"), (8, 81, "Жидкое мыло Альфа алоэ 2х250 мл", "Альфа", "a_1"), (9, None, None, None, "a_1"), (10, None, "", "", None), (11, 91, "Жидкое мыло Бета лимон 500 мл", "Бета", "a_1"),
     ]
-    more = [(100 + 40 * c + k, 1000 + 40 * c + k, f"Шампунь {s} {v} мл", b, f"{'xy'[c]}_1") for c in range(2) for k, (b, s, v) in enumerate((b, s, v) for b in ("Альфа", "Бета", "Гамма", "Дельта") for s in ("лимон", "мята", "алоэ") for v in (200, 400, 750))]
+    more = [(100 + 80 * c + k, 1000 + 80 * c + k, f"Шампунь {s} {v} мл", b, f"{'xy'[c]}_1") for c in range(2) for k, (b, s, v) in enumerate((b, s, v) for b in ("Альфа", "Бета", "Гамма", "Дельта", "Лямбда", "Сигма") for s in ("лимон", "мята", "алоэ", "мёд") for v in (200, 400, 750))]
     df = spark.createDataFrame([(i, c, n, b, None, None, None, None, None, None, None, f, "x") for i, c, n, b, f in rows + more], LISTING)
     got = {(r.listing_id_a, r.listing_id_b) for r in pairs_of(same_product(df), "listing_id", "product").collect()}
     assert {p for p in got if p[1] < 100} == {(1, 2), (1, 3), (2, 3), (6, 7)}
-    assert {p for p in got if p[1] >= 100} == {(100 + k, 140 + k) for k in range(36)}
+    assert {p for p in got if p[1] >= 100} == {(100 + k, 180 + k) for k in range(72)}
     assert same_product(df).count() == len(rows) + len(more)
     assert same_product(df.limit(0)).count() == 0
 
