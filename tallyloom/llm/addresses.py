@@ -61,7 +61,7 @@ def plain(text: str) -> str:
     s = text.lower().replace("ё", "е")
     if len(re.findall(r"[a-z]", s)) > len(re.findall(r"[а-я]", s)):
         s = _LATIN_RE.sub(lambda m: _LATIN_MAP[m[0]], s)
-    return " ".join(s.split())
+    return " ".join(s.replace("сч", "щ").split())  # sch stands for both
 
 
 def stem_gender(name: str) -> tuple[str, str | None]:
@@ -142,7 +142,8 @@ def parse(address: str | None, store_name: str | None = None) -> Address | None:
         rest = [w for w in re.findall(r"[а-я]{4,}", s) if w not in ("город",)]
         town = next((w for w in rest if _TOWNISH.search(w)), rest[0] if rest else None)
     gender = stem_gender(name)[1]
-    return Address(postcode, region, town or town_of(store_name), kind, ordinal, name, GENDER.get(kind, gender), house, unit)
+    hard = lambda w: w and w.replace("ь", "").replace("ъ", "")  # transliteration leaves the signs out
+    return Address(postcode, region, hard(town or town_of(store_name)), kind, ordinal, hard(name), GENDER.get(kind, gender), house, unit)
 
 
 def town_of(store_name: str | None) -> str | None:

@@ -73,6 +73,8 @@ def fit(patterns: Sequence[tuple[tuple[str, ...], int]], agreeing: Sequence[str]
                         sums[p[f]] += part(n, x)
                 whole = sum(sums.values())
                 weights[f] = {v: s / whole for v, s in sums.items()}
+            if sum(v for k, v in w.m[f].items() if k in agreeing) < sum(v for k, v in w.u[f].items() if k in agreeing):
+                w.m[f] = dict(w.u[f])  # agreement never speaks against a match
         new = min(max(sum(x for _, _, x in matched) / total, 1e-9), 1 - 1e-9)
         close = abs(new - w.share) < CLOSE * new
         w.share = new
@@ -81,13 +83,21 @@ def fit(patterns: Sequence[tuple[tuple[str, ...], int]], agreeing: Sequence[str]
     return w
 
 
-def with_probability(pairs: DataFrame, fields: Sequence[str], agreeing: Sequence[str], share: float = 0.2) -> DataFrame:
+def with_probability(pairs: DataFrame, fields: Sequence[str], agreeing: Sequence[str], share: float = 0.2, equal: DataFrame | None = None) -> DataFrame:
     """``pairs`` with the probability of a match, fitted on the counts of all patterns of the level columns ``fields``.
 
+    ``equal`` holds further patterns (the same columns and ``count``): those of pairs that were never made because both sides are equal.
+
     Only the counts reach the driver: at most the product of the numbers of levels, however many pairs there are. The table of probabilities
     that goes back has as many rows, and is therefore broadcast.
     """
     counts = [(tuple(r[f] for f in fields), r["count"]) for r in pairs.groupBy(*fields).count().collect()]
+    if equal is not None:
+        counts += [(tuple(r[f] for f in fields), int(r["count"])) for r in equal.groupBy(*fields).agg(F.sum("count").alias("count")).collect() if r["count"]]
+        merged: dict[tuple[str, ...], int] = {}
+        for p, n in counts:
+            merged[p] = merged.get(p, 0) + n
+        counts = list(merged.items())
     if not counts:
         return pairs.withColumn("probability", F.lit(None).cast("double"))
     weights = fit(counts, agreeing, share)

@@ -13,6 +13,8 @@ from tallyloom.session import cut
 
 PARTS = list(Address._fields)
 COMPARED = ["postcode_level", "town_level", "region_level", "name_level", "kind_level", "ordinal_level"]
+#: How many times as frequent as a spelling another one must be to replace it.
+FREQUENT = 5
 #: Probability from which a pair is a link.
 LEAST_PROBABILITY = 0.5
 
@@ -38,6 +40,30 @@ def sound(name: str) -> F.Column:
     return F.regexp_replace(c, r"(.)\1+", "$1")
 
 
+def corrected(addresses: DataFrame, column: str) -> DataFrame:
+    """``addresses`` with rare spellings in a column replaced by the frequent one (FREQUENT times as many records) that is a slip away.
+
+    Works on the different words: a word meets those with which it shares a form with at most one letter removed.
+    """
+    words = addresses.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("w")).agg(F.sum("n").alias("n"))
+    cut_out = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.length("w"))))
+    forms = words.filter("length(w) >= 5").select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), cut_out))).alias("form"))
+    other = forms.select(F.col("w").alias("good"), F.col("n").alias("good_n"), "form")
+    slips = forms.join(other, "form").filter(F.col("good_n") >= F.col("n") * FREQUENT).filter(near(F.col("w"), F.col("good")))
+    best = slips.groupBy("w").agg(F.max_by("good", F.struct("good_n", "good")).alias("good"))
+    j = addresses.join(best, F.col(column) == F.col("w"), "left")
+    return j.withColumn(column, F.coalesce("good", column)).drop("w", "good")
+
+
+def with_town_of_postcode(addresses: DataFrame) -> DataFrame:
+    """``addresses`` with the town that most records of a postcode have, where the address has none or one a slip away."""
+    seen = addresses.filter("postcode is not null and town is not null").groupBy("postcode", F.col("town").alias("t")).agg(F.sum("n").alias("k"))
+    usual = seen.groupBy("postcode").agg(F.max_by("t", F.struct("k", "t")).alias("usual"))
+    j = addresses.join(usual, "postcode", "left")
+    town = F.when(F.col("usual").isNotNull() & (F.col("town").isNull() | near(F.col("town"), F.col("usual"))), F.col("usual")).otherwise(F.col("town"))
+    return j.withColumn("town", town).drop("usual")
+
+
 def candidates(addresses: DataFrame) -> DataFrame:
     """(a, b): pairs of different addresses that share a block: house and unit, together with the postcode, the beginning or the end of the
     town's name, or the street's sound in the region."""
@@ -82,14 +108,20 @@ def same_building(stores: DataFrame) -> DataFrame:
     agreement (a slip aside) of street, number and place; an address without town and postcode joins the only building that fits it.
     """
     records = parsed(stores)
-    addresses = cut(records.groupBy(*PARTS).agg(F.min("store_code").alias("id")))
+    addresses = cut(records.groupBy(*PARTS).agg(F.min("store_code").alias("id"), F.count("*").alias("n")))
+    stated = addresses.select("id", *(F.col(p).alias(f"stated_{p}") for p in PARTS))
+    addresses = cut(with_town_of_postcode(corrected(corrected(addresses, "town"), "name")))
     pairs = cut(compared(addresses, candidates(addresses)))
-    scored = with_probability(pairs, COMPARED, ("same", "near"))
+    alike = lambda p: F.when(F.col(p).isNull(), "missing").otherwise("same").alias(f"{p}_level")
+    equal = addresses.filter("n > 1").select(
+        *(alike(p) for p in ("postcode", "town", "region", "name", "kind")), F.lit("same").alias("ordinal_level"), F.expr("n * (n - 1) / 2").alias("count")
+    )
+    scored = with_probability(pairs, COMPARED, ("same", "near"), equal=equal)
     street = F.col("name_level").isin("same", "near") & (F.col("kind_level") != "differ") & (F.col("ordinal_level") == "same")
     place = ((F.col("postcode_level") == "same") & (F.col("town_level") != "differ")) | (F.col("town_level").isin("same", "near") & (F.col("postcode_level") != "differ"))
     links = scored.filter(street & (F.col("probability") >= LEAST_PROBABILITY))
     strong = connected_groups(links.filter(place), "a", "b")
-    known = addresses.join(strong, "id", "left").select(*PARTS, "id", F.coalesce("group_id", "id").alias("building"))
+    known = addresses.join(strong, "id", "left").select("id", F.coalesce("group_id", "id").alias("building"))
     # addresses that name no place: the one building that their links lead to
     bare = addresses.filter("town is null and postcode is null").select("id")
     weak = links.filter((F.col("town_level") == "missing") & (F.col("region_level") == "same"))
@@ -99,8 +131,8 @@ def same_building(stores: DataFrame) -> DataFrame:
         F.min("building").alias("low"), F.max("building").alias("high")
     )
     led = led.filter("low = high").select("id", F.col("low").alias("led_to"))
-    final = known.join(led, "id", "left").select(*PARTS, F.coalesce("led_to", "building").alias("building"))
-    same = [F.col(f"r.{p}").eqNullSafe(F.col(f"f.{p}")) for p in PARTS]
+    final = stated.join(known, "id").join(led, "id", "left").withColumn("building", F.coalesce("led_to", "building"))
+    same = [F.col(f"r.{p}").eqNullSafe(F.col(f"f.stated_{p}")) for p in PARTS]
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
