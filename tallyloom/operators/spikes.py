@@ -30,11 +30,25 @@ def hampel(df: DataFrame, keys: Sequence[str], step: str, value: str, half_windo
     return med.withColumn(f"{value}_mad", F.percentile(F.abs(F.col(value) - F.col(f"{value}_median")), F.lit(0.5)).over(w))
 
 
-def array_median(values: Column) -> Column:
-    s = F.array_sort(values)
+def hampel_of_all(df: DataFrame, keys: Sequence[str], step: str, values: Sequence[str], half_window: int) -> DataFrame:
+    """As ``hampel`` over a window of steps, for several values with one frame."""
+    w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-half_window, half_window)
+    cols = df.columns
+    df = df.select(*cols, F.collect_list(F.struct(*values)).over(w).alias("_near"))
+    near = lambda v: F.array_sort(F.array_compact(F.col("_near")[v]))
+    df = df.select(*cols, F.inline(F.array(F.struct(*(near(v).alias(f"_{v}") for v in values)))))
+    df = df.select(*cols, *(f"_{v}" for v in values), F.inline(F.array(F.struct(*(sorted_median(F.col(f"_{v}")).alias(f"{v}_median") for v in values)))))
+    mad = lambda v: array_median(F.transform(f"_{v}", lambda x: F.abs(x - F.col(f"{v}_median"))))
+    return df.select(*cols, *(f"{v}_median" for v in values), *(mad(v).alias(f"{v}_mad") for v in values))
+
+
+def sorted_median(s: Column) -> Column:
     n = F.size(s)
-    lower, upper = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (lower + upper) / 2)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
+def array_median(values: Column) -> Column:
+    return sorted_median(F.array_sort(values))
 
 
 def beyond_hampel(value: Column, median: Column, mad: Column, sigmas: float) -> Column:
@@ -75,8 +89,7 @@ def series_profile(sales: DataFrame, sigmas: float, stuck_weeks: int, half_windo
             {f"{c}_mad": F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), F.lit(0.5)).over(by) for c in measures}
         )
     else:
-        for c in ("qty_sold", "sales_rub", "cost_rub", "sales_rub_piece", "cost_rub_piece"):
-            weeks = hampel(weeks, SERIES, "week_no", c, half_window)
+        weeks = hampel_of_all(weeks, SERIES, "week_no", ("qty_sold", "sales_rub", "cost_rub", "sales_rub_piece", "cost_rub_piece"), half_window)
     for c in ("sales_rub", "cost_rub"):
         weeks = weeks.withColumn(f"{c}_new", F.when(F.col(f"{c}_first") == F.lag(f"{c}_first").over(w), 0).otherwise(1))
     for c in ("sales_rub", "cost_rub"):

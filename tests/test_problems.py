@@ -13,7 +13,7 @@ from tallyloom.functions.measures import parse_content
 from tallyloom.functions.periods import first_week, with_iso_week
 from tallyloom.operators.drift import schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
-from tallyloom.operators.spikes import hampel, implausible_readings
+from tallyloom.operators.spikes import hampel, hampel_of_all, implausible_readings
 from tallyloom.operators.units import contents, stated
 from tallyloom.sources.colmap import map_headers
 
@@ -95,6 +95,8 @@ def test_rolling_hampel_against_brute_force(spark):
     rng = random.Random(3)
     vals = {(k, w): rng.choice([None, rng.random() * 10]) for k in (1, 2) for w in range(12)}
     df = spark.createDataFrame([(k, w, v) for (k, w), v in vals.items()], "k int, w int, v double")
+    one, all_ = (sorted(map(tuple, d.select("k", "w", "v_median", "v_mad").collect())) for d in (hampel(df, ["k"], "w", "v", 2), hampel_of_all(df, ["k"], "w", ["v"], 2)))
+    assert one == all_
     for r in hampel(df, ["k"], "w", "v", 2).collect():
         near = sorted(v for (k, w), v in vals.items() if k == r.k and abs(w - r.w) <= 2 and v is not None)
         want = None if not near else (near[(len(near) - 1) // 2] + near[len(near) // 2]) / 2
