@@ -1,8 +1,7 @@
-"""Extracts of several formats -> DataFrames. Only headers and the first bytes of a file are looked at by the driver."""
+"""Extracts of several formats -> DataFrames. Only headers and the first bytes of a file are looked at by the driver; encodings are told in parallel."""
 
 from __future__ import annotations
 
-import codecs
 import json
 import shutil
 import tempfile
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom.sources.xlsx import XlsxSource
 
 SUFFIXES = (".xlsx", ".xls", ".xlsm", ".xlsb", ".csv", ".tsv", ".parquet")
-#: Bytes of a file's head that tell encoding and separator.
+#: Bytes of a file's head that tell the separator.
 HEAD = 4096
 
 
@@ -25,18 +24,17 @@ _UPPER = [b for b in range(128, 256) if b != 0x98]
 _CP1251 = ("".join(map(chr, _UPPER)), bytes(_UPPER).decode("cp1251"))
 
 
-def encoding_of(head: bytes) -> str:
-    """UTF-8 (with or without mark), else the Cyrillic code page, else Latin-1; a character cut off at the end does not count."""
-    try:
-        codecs.getincrementaldecoder("utf-8-sig")().decode(head)
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 (with or without mark), else the Cyrillic code page, else Latin-1: the first in which every byte of the file has a meaning.
+
+    The lines are read as bytes in parallel; no line break lies within a character of any of the three.
+    """
+    raw = spark.read.text(path)
+    undefined = F.contains(F.col("value").cast("binary"), F.lit(bytes([0x98])))
+    told = raw.agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(undefined).alias("undefined")).first()
+    if told["utf8"] is not False:  # null: no line at all
         return "UTF-8"
-    except UnicodeDecodeError:
-        pass
-    try:
-        head.decode("cp1251")
-        return "windows-1251"
-    except UnicodeDecodeError:
-        return "ISO-8859-1"
+    return "ISO-8859-1" if told["undefined"] else "windows-1251"
 
 
 def separator_of(head: str) -> str:
@@ -56,9 +54,9 @@ def head_of(spark: SparkSession, path: str) -> bytes:
 
 
 def read_text_table(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A delimited file with a header; separator and encoding by the file's head. All columns as Spark infers them."""
+    """A delimited file with a header; the encoding by all its bytes, the separator by its head. All columns as Spark infers them."""
     head = head_of(spark, path)
-    enc = encoding_of(head)
+    enc = encoding_of(spark, path)
     text = head.decode({"UTF-8": "utf-8-sig", "windows-1251": "cp1251", "ISO-8859-1": "latin-1"}[enc], errors="ignore")
     one_byte = enc == "windows-1251"  # not among Spark's encodings: read byte by byte, then the upper half is put right
     df = spark.read.csv(path, sep=separator or separator_of(text), header=True, inferSchema=True, encoding="ISO-8859-1" if one_byte else enc)

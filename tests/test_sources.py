@@ -18,6 +18,26 @@ def test_csv(spark, tmp_path, encoding, sep):
     assert df.columns == ["Магазин", "Кол-во"] and [tuple(r) for r in df.orderBy("Кол-во").collect()] == [("ТТ 1", 5), ("ТТ 2", 7)]
 
 
+@pytest.mark.parametrize("suffix", ["csv", "tsv"])
+@pytest.mark.parametrize("encoding", ["utf-8", "cp1251"])
+def test_encoding_told_behind_the_head(spark, tmp_path, encoding, suffix):
+    sep = "\t" if suffix == "tsv" else ","
+    rows = [f"soap {k}{sep}{k}" for k in range(600)] + [f"Мыло жидкое{sep}600", f"Мыло детское{sep}601"]
+    (tmp_path / f"a.{suffix}").write_text("\n".join([f"name{sep}n", *rows]) + "\n", encoding=encoding)
+    assert next(k for k, c in enumerate((tmp_path / f"a.{suffix}").read_bytes()) if c > 127) > read.HEAD
+    for df in (read.read_table(spark, str(tmp_path / f"a.{suffix}")), read.read_folder(spark, str(tmp_path))[0][0][1]):
+        assert [r.name for r in df.filter("n >= 600").orderBy("n").collect()] == ["Мыло жидкое", "Мыло детское"] and df.count() == 602
+
+
+def test_bytes_without_meaning_behind_the_head(spark, tmp_path):
+    body = b"name,n\n" + b"".join(b"soap %d,%d\n" % (k, k) for k in range(600))
+    for end, want in ((b"caf\xe9 \x98,600\n", "café \x98"), (b"\xd1\x8b\xd1,600\n", "С‹С")):  # not in the code page; not UTF-8
+        (tmp_path / "a.csv").write_bytes(body + end)
+        assert read.read_table(spark, str(tmp_path / "a.csv")).filter("n = 600").first().name == want
+    (tmp_path / "a.csv").write_bytes(b"name,n\nx,1\ny,\xd1")  # a character cut off at the end is not UTF-8
+    assert read.encoding_of(spark, str(tmp_path / "a.csv")) == "windows-1251"
+
+
 def test_tsv_parquet_unknown(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("a\tb\n1\tx\n")
     assert read.read_table(spark, str(tmp_path / "a.tsv")).count() == 1
