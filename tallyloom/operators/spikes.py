@@ -35,7 +35,7 @@ def hampel_of_all(df: DataFrame, keys: Sequence[str], step: str, values: Sequenc
     w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-half_window, half_window)
     cols = df.columns
     df = df.select(*cols, F.collect_list(F.struct(*values)).over(w).alias("_near"))
-    near = lambda v: F.array_sort(F.array_compact(F.col("_near")[v]))
+    near = lambda v: F.sort_array(F.array_compact(F.col("_near")[v]))
     df = df.select(*cols, F.inline(F.array(F.struct(*(near(v).alias(f"_{v}") for v in values)))))
     df = df.select(*cols, *(f"_{v}" for v in values), F.inline(F.array(F.struct(*(sorted_median(F.col(f"_{v}")).alias(f"{v}_median") for v in values)))))
     mad = lambda v: array_median(F.transform(f"_{v}", lambda x: F.abs(x - F.col(f"{v}_median"))))
@@ -48,7 +48,7 @@ def sorted_median(s: Column) -> Column:
 
 
 def array_median(values: Column) -> Column:
-    return sorted_median(F.array_sort(values))
+    return sorted_median(F.sort_array(values))
 
 
 def beyond_hampel(value: Column, median: Column, mad: Column, sigmas: float) -> Column:

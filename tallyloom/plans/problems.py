@@ -37,8 +37,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_hampel_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the median and deviation of the 13 weeks around each week instead of the whole series."""
-    return implausible_readings(table(spark, folder, "sales"), half_window=6)
+    """The same with the median and deviation of the 27 weeks around each week instead of the whole series."""
+    return implausible_readings(table(spark, folder, "sales"), half_window=13)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tallyloom.operators.drift import schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
 from tallyloom.operators.spikes import hampel, hampel_of_all, implausible_readings
 from tallyloom.operators.units import contents, stated
+from tallyloom.plans.problems import p2_hampel_rolling
 from tallyloom.sources.colmap import map_headers
 
 SALES = "row_id long, week string, month int, year int, store_code long, item_code long, qty_sold double, sales_rub double, cost_rub double, source_file string, loaded_at timestamp_ntz, extra string"
@@ -103,6 +104,13 @@ def test_rolling_hampel_against_brute_force(spark):
         assert r.v_median == (want if want is None else pytest.approx(want))
 
 
+def test_rolling_window_outlasts_a_level_error(spark, tmp_path):
+    rows = [(f"2021-W{w:02}", None, 1, 1, 5.0, 5000.0 + w if 17 <= w <= 23 else 100.0 + w, 70.0 + w, 0) for w in range(1, 41)]
+    sales(spark, rows).write.parquet(str(tmp_path / "sales.parquet"))
+    found = {(r.row_id, r.field, r.reason) for r in p2_hampel_rolling(spark, str(tmp_path)).collect()}
+    assert found == {(w, "sales_rub", "spike") for w in range(17, 24)}
+
+
 RAW = "raw_id long, file_id long, feed string, file_name string, received_at timestamp_ntz, line_no int, payload string"
 
 
