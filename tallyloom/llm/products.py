@@ -70,10 +70,10 @@ def same_product(listings: DataFrame) -> DataFrame:
     """(listing_id, product): listings of one product share the number, the smallest listing_id among them.
 
     Listings of equal, fully stated traits are one product from the start, so a product with very many listings makes no pairs. A listing
-    that leaves out variety or content belongs to the only product that it links to (evidence of LEAST_BITS at least, and nothing that
-    differs); with none or several it stays alone, but for rows of its chain with the same item code, which are deliveries of one listing. The
-    weights are fitted on all pairs of fully described listings of one kind. Listings without brand or kind stay
-    alone as well. Null columns state nothing; repeated rows count once.
+    that leaves out the content belongs to the only product that has its other traits, whatever the rest of the table holds; one that leaves
+    out the variety to the only product that it links to (evidence of LEAST_BITS at least, and nothing that differs). With none or several a
+    listing stays alone, but for rows of its chain with the same item code, which are deliveries of one listing. The weights are fitted on all
+    pairs of fully described listings of one kind. Listings without brand or kind stay alone as well. Null columns state nothing; repeated rows count once.
     """
     rows = cut(with_traits(listings))
     known = rows.filter("brand is not null and kind is not null")
@@ -86,7 +86,8 @@ def same_product(listings: DataFrame) -> DataFrame:
         ("variety is not null and amount is null", ["brand", "kind", "variety"], ("same", "same", "missing")),
         ("variety is null and amount is not null", ["brand", "kind", "amount", "base", "pieces"], ("same", "missing", "same")),
     ):
-        if weights and weights.bits(pattern) >= LEAST_BITS:  # the ends of a listing's links: one product, or several
+        # without content, being the only product is enough; without variety it takes evidence as well
+        if "amount is null" in lacking or weights and weights.bits(pattern) >= LEAST_BITS:  # the ends of a listing's links: one product, or several
             ends = whole.groupBy(*shared).agg(F.min("id").alias("led_to"), F.max("id").alias("other")).filter("led_to = other").drop("other")
             led = led.unionByName(described.filter(lacking).select("id", *shared).join(ends, shared).select("id", "led_to"))
     assigned = described.join(led, "id", "left").select(

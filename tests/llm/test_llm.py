@@ -204,6 +204,13 @@ def test_products(spark):
     assert same_product(df.limit(0)).count() == 0
 
 
+def test_listing_without_content_needs_no_other_listings(spark):
+    rows = [(1, "Шампунь лимон 200 мл", "Альфа"), (2, "Шампунь лимон", "Альфа"), (3, "Шампунь мята 200 мл", "Бета"), (4, "Шампунь мята 400 мл", "Бета"), (5, "Шампунь мята", "Бета")]
+    df = spark.createDataFrame([(i, i, n, b, None, None, None, None, None, None, None, f"x{i}_1", "x") for i, n, b in rows], LISTING)
+    for some, want in ((df.filter("listing_id <= 2"), {(1, 2)}), (df, {(1, 2)})):  # 5 has two products to belong to
+        assert {(r.listing_id_a, r.listing_id_b) for r in pairs_of(same_product(some), "listing_id", "product").collect()} == want
+
+
 def test_pattern_counts(spark):
     rng = random.Random(9)
     rows = [(rng.choice("ab"), rng.choice("kl"), rng.choice("xyz"), float(rng.choice([1, 2])), "ml", 1.0, 1) for _ in range(40)]
