@@ -11,6 +11,8 @@ from tallyloom.functions.text import normal_name, token_set, volume_key
 
 #: Thresholds of the sweep.
 SWEEP = [round(0.70 + 0.02 * k, 2) for k in range(12)]
+#: A word that so many names hold at most is rare. An own value: the engine's is not published.
+RARE_DF = 2
 
 
 def document_frequency(names: DataFrame, column: str) -> DataFrame:
@@ -35,33 +37,53 @@ def char_grams(text: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:
     return F.flatten(F.transform(words, of))
 
 
-def tfidf(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram, weight): counts times ln((1 + n) / (1 + df)) + 1, each text scaled to length 1."""
+def tfidf(texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
+    """(key, gram, weight): counts times ln((1 + n) / (1 + df)) + 1, each text scaled to length 1.
+
+    n and df are those of ``corpus`` (the same columns), of which ``texts`` is a part; without it those of ``texts``.
+    """
+    corpus = texts if corpus is None else corpus
     grams = texts.select(key, F.explode(char_grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    n = texts.agg(F.count_distinct(key).alias("n"))
+    df = corpus.select(F.explode(F.array_distinct(char_grams(F.col(text)))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    n = corpus.agg(F.count_distinct(key).alias("n"))
     w = grams.join(df, "gram").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def scored_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``score``: the cosine of both texts' TF-IDF vectors over all texts of the pairs."""
-    texts = pairs.select(F.col(a).alias("t")).unionByName(pairs.select(F.col(b).alias("t"))).filter("t is not null").distinct()
-    v = tfidf(texts, "t", "t")
+def names_together(pairs: DataFrame, a: str, b: str, corpus: DataFrame | None = None) -> DataFrame:
+    """(t): the different names of the pairs and of ``corpus`` (name), nulls left out."""
+    names = pairs.select(F.col(a).alias("t")).unionByName(pairs.select(F.col(b).alias("t")))
+    if corpus is not None:
+        names = names.unionByName(corpus.select(F.col("name").alias("t")))
+    return names.filter("t is not null").distinct()
+
+
+def scored_pairs(pairs: DataFrame, a: str, b: str, corpus: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with ``score``: the cosine of the TF-IDF vectors of both normalised names, over the different names of the pairs and of ``corpus`` (name)."""
+    normal = lambda names: names.select("t", normal_name(F.col("t")).alias("normal"))
+    v = tfidf(normal(names_together(pairs, a, b)), "t", "normal", None if corpus is None else normal(names_together(pairs, a, b, corpus)))
     keyed = pairs.select(a, b).distinct()
     x, y = v.select(F.col("t").alias(a), "gram", F.col("weight").alias("wa")), v.select(F.col("t").alias(b), "gram", F.col("weight").alias("wb"))
     dots = keyed.join(x, a).join(y, [b, "gram"]).groupBy(a, b).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     return pairs.join(dots, [a, b], "left").withColumn("score", F.coalesce("dot", F.lit(0.0))).drop("dot")
 
 
-def gated(pairs: DataFrame, a: str, b: str, threshold: float = 0.86) -> DataFrame:
+def with_rarest(pairs: DataFrame, a: str, b: str, corpus: DataFrame | None = None) -> DataFrame:
+    """Adds ``rarest``: of the words in which both names differ, the least number of names (of the pairs and of ``corpus``) that hold one; null if none differs."""
+    df = document_frequency(names_together(pairs, a, b, corpus), "t")
+    differing = pairs.select(a, b).distinct().select(a, b, F.explode(differing_tokens(pairs, a, b)).alias("token"))
+    return pairs.join(differing.join(df, "token").groupBy(a, b).agg(F.min("df").alias("rarest")), [a, b], "left")
+
+
+def gated(pairs: DataFrame, a: str, b: str, threshold: float = 0.86, rare_df: int = RARE_DF) -> DataFrame:
     """Adds ``prediction`` and ``reason``: sizes that differ are a non-match, a likeness below the threshold too, else a match; different numbers
-    in the names make it a case for review."""
+    in the names, or a differing word that at most ``rare_df`` names hold (``rarest``), make it a case for review."""
     sizes = volume_key(F.col(a)) != volume_key(F.col(b))
     numbers = [F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+)"), F.lit(1)))) for c in (F.col(a), F.col(b))]
-    reason = F.when(sizes, "size").when(F.col("score") < threshold, "score").when(numbers[0] != numbers[1], "numbers").otherwise("none")
-    return pairs.withColumn("reason", reason).withColumn("prediction", F.when(F.col("reason").isin("size", "score"), "non-match").when(F.col("reason") == "numbers", "review").otherwise("match"))
+    reason = F.when(sizes, "size").when(F.col("score") < threshold, "score").when(numbers[0] != numbers[1], "numbers").when(F.col("rarest") <= rare_df, "rare").otherwise("none")
+    prediction = F.when(F.col("reason").isin("size", "score"), "non-match").when(F.col("reason").isin("numbers", "rare"), "review").otherwise("match")
+    return pairs.withColumn("reason", reason).withColumn("prediction", prediction)
 
 
 def confusion(scored: DataFrame, label: str, thresholds: Sequence[float] = tuple(SWEEP)) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import composite_key, jaccard, key_seed, normal_category, normal_name, to_number, token_set, transliterate, volume_key
+from tallyloom.functions.text import composite_key, is_blank, jaccard, key_seed, normal_category, normal_name, to_number, token_set, transliterate, volume_key
 from tallyloom.operators import analytics as a
 from tallyloom.operators import anonymize as an
 from tallyloom.operators import categorize as cat
@@ -104,7 +104,9 @@ def confusion_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gated_pairs(spark: SparkSession, d: str) -> DataFrame:
-    g = ev.gated(ev.scored_pairs(classified_pairs(spark, d), "a", "b"), "a", "b")
+    pairs = classified_pairs(spark, d)
+    names = listings(spark, d).filter(~is_blank(F.col("item_name"))).select(F.trim("item_name").alias("name"))
+    g = ev.gated(ev.with_rarest(ev.scored_pairs(pairs, "a", "b", names), "a", "b", names), "a", "b")
     return g.groupBy("label", "prediction", "reason").count()
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +152,31 @@ def test_evaluation(spark):
     assert token_set(F.lit("a")) is not None
 
 
+def test_pairs_over_a_corpus(spark):
+    names = ["gel mint 5", "gel mint 6", "soap", "gel mint", "gel", "mint", "gel mint 5", None]
+    corpus = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = spark.createDataFrame([("gel mint", "gel mint aloe", "match"), ("Гель Mint", "gel, mint", "match"), ("soap", "mint", "non-match")], "a string, b string, label string")
+
+    def grams(name):
+        words = [f" {w} " for w in name.split()]
+        return Counter(w[i : i + n] for w in words for n in (2, 3, 4) for i in range(len(w) - n + 1))
+
+    def want(*more):
+        normal = {n: n.lower().replace("гель", "gel").replace(",", "") for n in {*more, "gel mint", "gel mint aloe", "Гель Mint", "gel, mint", "soap", "mint"} if n}
+        df = Counter(g for n in normal.values() for g in set(grams(n)))
+        vec = {n: {g: c * (math.log((1 + len(normal)) / (1 + df[g])) + 1) for g, c in grams(normal[n]).items()} for n in normal}
+        size = {n: math.sqrt(sum(x * x for x in v.values())) for n, v in vec.items()}
+        return {(r.a, r.b): sum(x * vec[r.b].get(g, 0) for g, x in vec[r.a].items()) / size[r.a] / size[r.b] for r in pairs.collect()}
+
+    for given, more in ((None, ()), (corpus, names)):
+        got = {(r.a, r.b): r.score for r in ev.scored_pairs(pairs, "a", "b", given).collect()}
+        assert got == pytest.approx(want(*more)) and got["Гель Mint", "gel, mint"] == pytest.approx(1.0)
+    assert want(*names)["gel mint", "gel mint aloe"] != pytest.approx(want()["gel mint", "gel mint aloe"], abs=0.01)
+    rarest = ev.with_rarest(ev.scored_pairs(pairs, "a", "b", corpus), "a", "b", corpus)
+    assert {(r.a, r.b): r.rarest for r in rarest.collect()} == {("gel mint", "gel mint aloe"): 1, ("Гель Mint", "gel, mint"): None, ("soap", "mint"): 1}
+    assert {r.a: (r.prediction, r.reason) for r in ev.gated(rarest, "a", "b", 0.5).collect()} == {"gel mint": ("review", "rare"), "Гель Mint": ("match", "none"), "soap": ("non-match", "score")}
+
+
 def test_plans_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("Fairy 900мл", ["x"])], "name string, src_cats array<string>")
     for d in (cat.classified(df), df.select(normal_name(F.col("name")), volume_key(F.col("name")))):
