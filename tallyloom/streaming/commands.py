@@ -28,18 +28,42 @@ def file_messages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder)
 
 
+class Finished:
+    """The positions of a batch's finished commands: an empty file each in the checkpoint. Those of earlier batches, which are never repeated, are removed."""
+
+    def __init__(self, spark: SparkSession, checkpoint: str, batch: int):
+        self._path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/finished/{name}")
+        folder = self._path(batch).getParent()
+        self._fs, self._batch = folder.getFileSystem(spark._jsc.hadoopConfiguration()), batch
+        self._fs.mkdirs(folder)
+        for status in self._fs.listStatus(folder):
+            if int(status.getPath().getName().split("-")[0]) < batch:
+                self._fs.delete(status.getPath(), False)
+
+    def __contains__(self, k: int) -> bool:
+        return self._fs.exists(self._path(f"{self._batch}-{k}"))
+
+    def add(self, k: int) -> None:
+        self._fs.create(self._path(f"{self._batch}-{k}"), True).close()
+
+
 def run_on_commands(
     messages: DataFrame, run: Callable[[SparkSession], str], publish: Callable[[str], None], checkpoint: str, every: str = "10 seconds", once: bool = False
 ) -> StreamingQuery:
     """Calls ``run`` once per command and publishes its result; a failure to publish is only logged, one to run ends the query, which may be started again.
 
-    The offset of every message is kept, commands or not. A batch that is repeated after a failure runs its commands again: give ``run`` an
-    output that may be overwritten, or its own memory of what is done.
+    The offset of every message is kept, commands or not, and the checkpoint remembers each finished command by its batch and its position
+    there (the messages of a batch stay the same, and commands do not differ), so a batch that is repeated after a failure goes on behind
+    them. Only a run that was broken off, or whose end could not be noted, is repeated.
     """
 
     def batch(df: DataFrame, number: int) -> None:
+        done = Finished(df.sparkSession, checkpoint, number)
         for k in range(commands(df).count()):
+            if k in done:
+                continue
             path = run(df.sparkSession)
+            done.add(k)
             try:
                 publish(f"✅ Готово: {path}")
             except Exception:

@@ -108,3 +108,27 @@ def test_command_stream(spark, tmp_path):
         q = run_on_commands(file_messages(spark, str(tmp_path / "in")), lambda s: runs.append(1) or "out", publish, str(tmp_path / "cp"), once=True)
         q.awaitTermination(60)
     assert len(runs) == 2 and told == ["✅ Готово: out"] * 2
+
+
+def test_repeated_batch_skips_finished_commands(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text("/merge\n/merge\n/merge\n")
+    tried, told = [], []
+
+    def run(_):
+        tried.append(1)
+        if len(tried) == 2:
+            raise OSError("disk full")
+        return f"out {len(tried)}"
+
+    def once():
+        q = run_on_commands(file_messages(spark, str(tmp_path / "in")), run, told.append, str(tmp_path / "cp"), once=True)
+        q.awaitTermination(60)
+
+    with pytest.raises(Exception, match="disk full"):
+        once()
+    once()  # the first command is done, the second and third are not
+    assert len(tried) == 4 and told == [f"✅ Готово: out {k}" for k in (1, 3, 4)]
+    (tmp_path / "in" / "2.txt").write_text("/merge\n")
+    once()  # the next batch counts anew
+    assert len(tried) == 5 and [p.name for p in (tmp_path / "cp" / "finished").glob("[0-9]*")] == ["1-0"]
