@@ -52,14 +52,6 @@ KIND_SETS = [(name, frozenset(c.split())) for name, _, sets in KINDS for c in se
 KIND_BASE = {name: base for name, base, _ in KINDS}
 SCENTS = ("aloe", "buckthorn", "lemon", "chamomile", "sage", "mint", "honey", "sea", "green", "coconut", "grapefruit", "lavender", "cotton", "unscented")
 
-# Source categories that hold one kind only.
-CATEGORY_KINDS = {
-    "Бальзамы": "balm", "Соли": "bath_salt", "Порошки чистящие": "cleaning_powder", "Вата": "cotton_pads", "Подгузники": "diapers", "Ручная мойка": "dish_liquid",
-    "Кремы": "hand_cream", "Гели": "laundry_gel", "Порошки": "laundry_powder", "Мыло жидкое": "liquid_soap", "Мыло твёрдое": "soap", "Ополаскиватели": "mouthwash",
-    "Сантехника": "plumbing_gel", "Шампуни": "shampoo", "Гели для душа": "shower_gel", "Сода": "soda", "Кондиционеры": "softener", "Травяной": "tea",
-    "Бумага": "toilet_paper", "Зубные пасты": "toothpaste", "Вода": "water", "Салфетки": "wipes",
-}
-
 _EXACT = {w: c for c, words in CONCEPTS.items() for w in words.split()}
 _EXACT["туалетная"] = "bar"
 
@@ -110,12 +102,6 @@ def words(text: str | None) -> list[str]:
     return [w for w in _SPLIT.split(s) if w]
 
 
-def kind_in(name_concepts: Iterable[str], *categories: str | None) -> str | None:
-    """The kind told by a specific source category, else by the name's words."""
-    told = next((CATEGORY_KINDS[c.strip()] for c in categories if c and c.strip() in CATEGORY_KINDS), None)
-    return told or kind_of(name_concepts)
-
-
 def kind_of(concepts: Iterable[str]) -> str | None:
     have = set(concepts)
     return next((name for name, need in KIND_SETS if need <= have), None)

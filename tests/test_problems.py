@@ -9,12 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.lexicon import concept, kind_of, one_edit, words
-from tallyloom.functions.measures import parse_content
+from tallyloom.functions.measures import UNITS, convert, parse_content, quantity_of
 from tallyloom.functions.periods import first_week, with_iso_week
 from tallyloom.operators.drift import schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
 from tallyloom.operators.spikes import hampel, hampel_of_all, implausible_readings
-from tallyloom.operators.units import contents, stated
+from tallyloom.operators.units import category_kinds, contents, measured, readings
 from tallyloom.plans.problems import p2_hampel_rolling
 from tallyloom.sources.colmap import map_headers
 
@@ -152,7 +152,47 @@ def test_contents_of_names(name, size, base, pieces, factor):
 
 
 def test_layers_are_no_volume():
-    assert stated("Туалетная бумага 2сл 8ШТ", None, None)[2:4] == (8.0, "pcs")
+    assert readings("Туалетная бумага 2сл 8ШТ", None, None)[:4] == ("toilet_paper", None, None, 8.0)
+    assert readings("Бумага таул. 2сл 4шт", None, None)[1:4] == (None, None, 4.0)
+    assert readings("Крем для рук 5 сл", None, None)[1:3] == (50.0, "ml")
+
+
+@pytest.mark.parametrize(
+    ("name", "content"),
+    [
+        ("Соус 5 г/л", (None, None, None, 1)), ("Гель 500 мл + 250 мл", (750, "ml", None, 1)), ("Сок 1 000 мл", (1000, "ml", None, 1)), ("Сахар 1 1/2 кг", (1500, "g", None, 1)),
+        ("Сыр 20 lb 4 oz", (9185.245, "g", None, 1)), ("Мыло 200 x 5 г", (5, "g", None, 200)), ("Мыло 150*5 г", (5, "g", None, 150)), ("Салфетки 20х30 см 60 шт", (None, None, 60, 1)),
+        ("Пакет 1 кг 1000 г", (1000, "g", None, 1)), ("Чай 12 шт х 5 г/шт", (5, "g", 12, 1)), ("Диски 5+1 шт", (None, None, 6, 1)), ("Фольга 2 м² 1 шт", (None, None, 1, 1)), ("Мука 1/2 кг", (500, "g", None, 1)),
+    ],
+)
+def test_grammar_of_contents(name, content):
+    c = parse_content(name)
+    assert (c.size if c.size is None else round(c.size, 3), c.base, c.pieces, c.pieces_factor) == content
+
+
+def test_vectors():
+    assert quantity_of("10 см x 5 см x 2 см") == quantity_of("100 мл") and quantity_of("4 шт х 5 г/шт") == quantity_of("20 г")
+    assert quantity_of("0,9 kg/m^3").base() == "g/ml" and quantity_of("5 г/л").value == pytest.approx(0.005)
+    assert convert("86 °F", "°C") == pytest.approx(30) and convert("300 кельвин", "°c") == pytest.approx(26.85) and convert("20 lb 4 oz", "кг") == pytest.approx(9.1852454925)
+    assert convert("1 л", "г") is None and convert("2 м", "см") == 200 and convert("1 час", "мин") == pytest.approx(60) and convert("x", "г") is None and convert(None, "г") is None
+    assert (UNITS["мл"] / UNITS["см"] ** 3).exponents == (0,) * 5 and not UNITS["мл"].converts(UNITS["см"])
+    with pytest.raises(ValueError):
+        UNITS["°f"] * UNITS["г"]
+    with pytest.raises(ValueError):
+        quantity_of("1 г") + quantity_of("1 мл")
+    assert quantity_of("500 мл и ещё") is None and quantity_of("") is None and quantity_of("1/0 кг").value == 0
+
+
+def test_measured_columns(spark):
+    df = spark.createDataFrame([("1 1/2 кг", 1), ("5 г/л", 2), ("5 м^4", 3), ("x", 4), (None, 5), ("", 6)], "t string, value int")
+    got = {r.value: r.measured for r in measured(df, "t").collect()}
+    assert (got[1].value, got[1].unit) == (1500.0, "g") and got[2].unit == "g/ml" and got[3].unit is None and list(got[3].exponents) == [4, 0, 0, 0, 0]
+    assert all(got[k].value is None for k in (4, 5, 6)) and measured(df.limit(0), "t").count() == 0
+
+
+def test_categories_of_one_kind(spark):
+    rows = [("a", "soap")] * 9 + [("a", "tea"), ("a", None), ("b", "soap"), ("b", "tea"), (None, "tea"), ("c", None)]
+    assert {tuple(r) for r in category_kinds(spark.createDataFrame(rows, "category string, name_kind string")).collect()} == {("a", "soap")}
 
 
 LISTING = "listing_id long, item_code long, item_name string, brand string, manufacturer string, supplier string, weight string, unit string, barcode string, category_0 string, category_1 string, category_2 string, category_3 string, category_4 string, source_file string, loaded_at timestamp_ntz"
