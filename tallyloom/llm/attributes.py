@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
 
 from tallyloom.functions.lexicon import SCENTS, concept, words
-from tallyloom.operators.units import stated
-
-
-class Traits(NamedTuple):
-    """``variety`` is a sorted list of concepts joined by +; ``amount`` the content of one listing in ``base`` units."""
-
-    brand: str | None = None
-    kind: str | None = None
-    variety: str | None = None
-    line: str | None = None
-    amount: float | None = None
-    base: str | None = None
-    pieces: float | None = None
-    bare: float | None = None
+from tallyloom.operators.units import readings
 
 
 # Latin spellings of Cyrillic letters in brands.
 _TO_LATIN = dict(zip("абвгдеёзийклмнопрстуфыэ", "abvgdeeziyklmnoprstufye")) | {
     "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ъ": "", "ь": "",
 }
-# Series of brands, which are wording and not part of a product.
-LINES = ("эко-линия", "премиум", "природа", "забота", "нежность", "классик", "intense", "fresh+", "family", "pure", "active", "comfort")
 _MAKER = re.compile(r"^(?:ооо|ао|пк|тд|зао|оао|ип)\s*[«\"](.+?)[»\"]$")
 _MAKER_END = re.compile(r"(?:пром|хим|\s+трейд)$")
 # Concepts of a variety by kind; kinds not named here have scents.
-_VARIETIES = {
+VARIETIES = {
     "laundry_gel": ("white", "color", "black", "baby", "universal"), "laundry_powder": ("white", "color", "black", "baby", "universal"),
     "dishwasher_salt": ("coarse", "fine", "granules"), "tablets": (*SCENTS, "eco"), "soda": ("bucket", "pack"), "water": ("still", "sparkling"),
     "diapers": ("size_s", "size_m", "size_l", "size_xl"), "cotton_pads": (*SCENTS, "round", "oval"),
@@ -67,13 +51,12 @@ def brand_of(brand: str | None, maker: str | None, supplier: str | None) -> str
     return key_of(_MAKER_END.sub("", company[1].strip())) or None if company else None
 
 
-def variety_of(name: str | None, kind: str | None) -> str | None:
-    """The variety in concepts; None where the name states none."""
+def concepts_of(name: str | None) -> list[str]:
+    """The concepts that may make a variety, whatever the kind; sorted."""
     low = (name or "").lower().replace("ё", "е").replace("эко-линия", " ").replace("эко линия", " ")
     listed = words(low)
-    of = [concept(w) for w in listed]
     found = set()
-    for k, c in enumerate(of):
+    for k, c in enumerate(map(concept, listed)):
         before = listed[k - 1] if k else ""
         if c == "smell" or c == "unscented":
             found.add("unscented")
@@ -83,23 +66,14 @@ def variety_of(name: str | None, kind: str | None) -> str | None:
             found.add("eco")
         elif c and (not c.startswith("size_") or len(listed[k]) <= 2):
             found.add(c)
-    if kind == "toilet_paper" and (m := _LAYERS.search(low)):
+    if m := _LAYERS.search(low):
         found.add("two_ply" if m[1] == "2" else "three_ply")
-    mine = found & set(_VARIETIES.get(kind, SCENTS))
-    if kind == "diapers" and len(mine) > 1:  # "1 l" is no size
-        mine = {c for c in mine if re.search(rf"(?:р-р|размер|size)\s*{c[5:]}(?![a-z])", low)} or mine
-    return "+".join(sorted(mine)) or None
-
-
-def line_of(name: str | None) -> str | None:
-    low = (name or "").lower()
-    return next((x for x in LINES if x in low), None)
+    sizes = {c for c in found if c.startswith("size_")}
+    if len(sizes) > 1:  # "1 l" is no size
+        found -= sizes - ({c for c in sizes if re.search(rf"(?:р-р|размер|size)\s*{c[5:]}(?![a-z])", low)} or sizes)
+    return sorted(found)
 
 
-def traits(name, brand, maker, supplier, weight, unit, *categories) -> Traits:
-    """All traits of a listing; None for each that it does not state."""
-    kind, _, amount, base, pieces, w_amount, w_base, bare = stated(name, weight, unit, *categories)
-    if amount is None and w_amount is not None:
-        amount, base = w_amount * pieces, w_base
-    bare = bare * pieces if bare is not None and amount is None else None
-    return Traits(brand_of(brand, maker, supplier), kind, variety_of(name, kind), line_of(name), None if amount is None else float(round(amount)), base, float(pieces), bare)
+def traits(name: str | None, brand: str | None, maker: str | None, supplier: str | None, weight: str | None, unit: str | None) -> tuple:
+    """Brand, concepts of the name, and the readings of kind and content."""
+    return brand_of(brand, maker, supplier), concepts_of(name), *readings(name, weight, unit)

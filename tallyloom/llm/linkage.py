@@ -33,6 +33,18 @@ def near(a: Column, b: Column) -> Column:
     return (F.length(a) >= 5) & (F.length(b) >= 5) & ((d.between(0, 1)) | swapped)
 
 
+def near_words(words: DataFrame) -> DataFrame:
+    """(w, n, other, other_n): each pair of different words that are ``near``, in both orders. ``words`` holds each word ``w`` once, with ``n``.
+
+    A word meets those with which it shares a form with at most one letter removed: every near pair does, and few others. No null, no word
+    shorter than five letters takes part.
+    """
+    cut_out = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.length("w"))))
+    forms = words.filter("length(w) >= 5").select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), cut_out))).alias("form"))
+    other = forms.select(F.col("w").alias("other"), F.col("n").alias("other_n"), "form")
+    return forms.join(other, "form").filter(F.col("w") != F.col("other")).filter(near(F.col("w"), F.col("other"))).select("w", "n", "other", "other_n").distinct()
+
+
 @dataclass
 class Weights:
     """Share of matches and, for each field, the share of each level among matches and among the rest."""

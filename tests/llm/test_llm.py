@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import queries
 from tallyloom.llm.addresses import parse
-from tallyloom.llm.attributes import traits
+from tallyloom.llm.attributes import VARIETIES, brand_of, concepts_of
 from tallyloom.llm.encode import ByteBpe, default_pattern, default_vocabulary, encoded
 from tallyloom.llm.groups import connected_groups, decided_pairs
 from tallyloom.llm.leaks import leaked_items, reading
@@ -178,11 +178,14 @@ def test_weights_find_the_classes():
 
 
 def test_traits():
-    a = traits("Бежабаже Family Салфетки влажные с облепихой 120 шт", "Bezhabazhe", None, None, None, None)
-    b = traits("WET WIPES BUCKTHORN облепиха №120", "ООО «Бежабажепром»", None, "БЕЖАБАЖЕ", None, None)
-    c = traits("Влажн. салф. облепиховый", None, "АО «Бежабаже Трейд»", "ТД «Опт»", "10", "дюжина")
-    assert a[:3] == b[:3] == c[:3] == ("bezhabazhe", "wipes", "buckthorn") and a.amount == b.amount == c.amount == 120
-    assert traits(None, None, None, None, None, None)[:3] == (None, None, None)
+    rows = [
+        ("Бежабаже Family Салфетки влажные с облепихой 120 шт", "Bezhabazhe", None, None), ("WET WIPES BUCKTHORN облепиха №120", "ООО «Бежабажепром»", None, "БЕЖАБАЖЕ"),
+        ("Влажн. салф. облепиховый", None, "АО «Бежабаже Трейд»", "ТД «Опт»"),
+    ]
+    assert {brand_of(b, m, s) for _, b, m, s in rows} == {"bezhabazhe"}
+    assert all("buckthorn" in concepts_of(n) for n, *_ in rows)
+    assert brand_of(None, None, None) is None and concepts_of(None) == [] and brand_of("нет бренда", None, None) is None
+    assert {"two_ply"} == set(concepts_of("Туалетная бумага 2-слойная")) & set(VARIETIES["toilet_paper"])
 
 
 LISTING = "listing_id long, item_code long, item_name string, brand string, manufacturer string, supplier string, weight string, unit string, category_1 string, category_2 string, category_3 string, source_file string, product string"
@@ -213,13 +216,42 @@ def test_listing_without_content_needs_no_other_listings(spark):
 
 def test_pattern_counts(spark):
     rng = random.Random(9)
-    rows = [(rng.choice("ab"), rng.choice("kl"), rng.choice("xyz"), float(rng.choice([1, 2])), "ml", 1.0, 1) for _ in range(40)]
-    df = spark.createDataFrame(rows, "brand string, kind string, variety string, amount double, base string, pieces double, n int")
+    rows = [(rng.choice(["alpha", "beta1", "beta2"]), rng.choice("kl"), rng.choice(["x", "y", None]), rng.choice(["1", "2", None]), 1) for _ in range(60)]
+    df = spark.createDataFrame(rows, "brand string, kind string, variety string, content string, n int")
+    near = spark.createDataFrame([("beta1", "beta2")], "w string, other string")
+    level = lambda x, y: "missing" if x is None or y is None else "same" if x == y else "differ"
     want = {}
-    for i in range(40):
+    for i in range(60):
         for j in range(i):
             a, b = rows[i], rows[j]
             if a[1] == b[1]:
-                p = tuple("same" if a[f] == b[f] else "differ" for f in (0, 2, 3))
+                p = ("same" if a[0] == b[0] else "near" if {a[0], b[0]} == {"beta1", "beta2"} else "differ", level(a[2], b[2]), level(a[3], b[3]))
                 want[p] = want.get(p, 0) + 1
-    assert dict(pattern_counts(df)) == want
+    assert dict(pattern_counts(df, near)) == want
+
+
+def groups_of(df):
+    found = {}
+    for r in same_product(df).collect():
+        found.setdefault(r.product, set()).add(r.listing_id)
+    return {frozenset(g) for g in found.values()}
+
+
+@needs_tables
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_misspelt_brands_find_their_products(spark, folder):
+    """One listing in twenty loses a letter of its brand; what belonged together still does."""
+    rows = spark.read.parquet(f"{oracle.DATA}/{folder}/listings.parquet")
+    spelt = F.col("brand")
+    hit = (F.pmod(F.xxhash64("listing_id"), F.lit(20)) == 0) & (F.length(spelt) >= 7) & ~spelt.contains("«") & ~spelt.contains(" ")
+    slips = rows.withColumn("brand", F.when(hit, F.concat(F.substring(spelt, 1, 3), spelt.substr(F.lit(5), F.lit(50)))).otherwise(spelt))
+    n = slips.join(rows.select("listing_id", F.col("brand").alias("was")), "listing_id").filter("brand <> was").count()
+    pairs = lambda gs: {(a, b) for g in gs for a in g for b in g if a < b}
+    want, got = pairs(groups_of(rows)), pairs(groups_of(slips))
+    assert n >= 3 and len(want & got) >= 0.99 * len(want) and len(want & got) >= 0.99 * len(got), (n, len(want), len(got), len(want & got))
+
+
+def test_listings_without_content(spark):
+    rows = [(1, "Шампунь лимон"), (2, "Шампунь лимон"), (3, "Шампунь мята 200 мл"), (4, "Шампунь мята 400 мл"), (5, "Шампунь мята"), (6, "Шампунь мята"), (7, "Шампунь 300 мл"), (8, "Шампунь 300 мл"), (9, None), (9, None)]
+    df = spark.createDataFrame([(i, i, n, "Альфа", None, None, None, None, None, None, None, "x_1", "x") for i, n in rows], LISTING)
+    assert groups_of(df) == {frozenset(g) for g in ([1, 2], [3], [4], [5], [6], [7], [8], [9])}
