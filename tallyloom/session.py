@@ -33,15 +33,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def write_cut(df: DataFrame, *by: str) -> str:
+    """The path under which ``df`` has been written as Parquet into the shared checkpoint folder, a folder for each value of the columns ``by``."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read back by path, so that its lineage is cut.
 
     Unlike a checkpointed plan the table read back has a known size, by which the optimizer chooses joins, and only the columns that are
     used are read. Tables stay until ``clear_cuts``, since results that read them are computed later.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_cut(df))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def clear_cuts(spark: SparkSession) -> None:
