@@ -1,8 +1,10 @@
 """Pairwise matches -> groups, by low-diameter decomposition.
 
-Every vertex starts a cluster at an exponentially shifted time; clusters grow along the edges for a few steps, a vertex joining the cluster
-that reaches it first. Clusters become super-vertices, the edges between clusters the next level's graph, until no edge is left. The
-assignments are then composed from the last level down, so that the whole work is that of a geometric series over the first level.
+Every vertex starts a cluster at an exponentially shifted time; clusters grow along the edges, a vertex joining the cluster that reaches it first
+(its shift counted in), until no vertex changes. An edge is cut with a probability of at most BETA and a cluster's radius is at most the
+greatest shift, ln n / BETA in expectation (Miller, Peng and Xu). Clusters become super-vertices, the edges between clusters the next
+level's graph, until no edge is left. The assignments are then composed from the last level down, so that the whole work is that of a
+geometric series over the first level.
 """
 
 from __future__ import annotations
@@ -10,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, path_exists, write_cut
 
-#: Rate of the exponential shifts: the smaller, the larger the clusters.
-BETA = 0.05
-#: Growth steps of a level.
-STEPS = 4
+#: Rate of the exponential shifts: the share of edges that a level leaves at most, in expectation.
+BETA = 0.3
 
 
 def shift(vertex: Column, level: int) -> Column:
@@ -24,19 +24,33 @@ def shift(vertex: Column, level: int) -> Column:
     return -F.log(u) / F.lit(BETA)
 
 
-def grow(edges: DataFrame, level: int, steps: int = STEPS) -> DataFrame:
-    """(id, cluster): one level's clusters. ``edges`` (src, dst) holds both directions of each edge once.
+def spread(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, cluster, at, changed): one step of growth. The vertices of ``state`` (the same columns) that have changed offer their cluster to their neighbours.
 
-    Offers are combined before each shuffle, so a vertex with a third of all edges gets one row per map task; on the join side the adaptive
-    skew join splits it (each vertex has one row on the other side).
+    Offers are combined before the shuffle: a vertex with a third of all edges gets one row per map task; where it is the one that offers,
+    the adaptive skew join splits its edges (it has one row on the other side). Few changed vertices are broadcast by their written size,
+    and the edges are then not shuffled.
     """
-    state = edges.select(F.col("src").alias("id")).distinct().select("id", F.struct((-shift(F.col("id"), level)).alias("at"), F.col("id").alias("cluster")).alias("s"))
-    for _ in range(steps):
-        reached = edges.join(state.withColumnRenamed("id", "src"), "src").select(
-            F.col("dst").alias("id"), F.struct((F.col("s.at") + 1).alias("at"), F.col("s.cluster").alias("cluster")).alias("s")
-        )
-        state = reached.unionByName(state).groupBy("id").agg(F.min("s").alias("s"))
-    return state.select("id", "s.cluster")
+    offers = edges.join(state.filter("changed").select(F.col("id").alias("src"), "cluster", "at"), "src")
+    offers = offers.select(F.col("dst").alias("id"), "cluster", (F.col("at") + 1).alias("at"), F.lit(None).cast("double").alias("own"))
+    both = offers.unionByName(state.select("id", "cluster", "at", F.col("at").alias("own")))
+    best = both.groupBy("id").agg(F.min_by("cluster", "at").alias("cluster"), F.min("at").alias("at"), F.min("own").alias("own"))
+    return best.select("id", "cluster", "at", (F.col("at") < F.col("own")).alias("changed"))
+
+
+def grow(edges: DataFrame, level: int) -> tuple[DataFrame, int]:
+    """(id, cluster) of one level, and the number of steps, which go on until no vertex changes. ``edges`` (src, dst) holds both directions of each
+    edge once. Each step is one small plan over written tables, so plans do not grow with the steps."""
+    spark = edges.sparkSession
+    start = (-shift(F.col("id"), level)).alias("at")
+    state = edges.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("cluster"), start, F.lit(True).alias("changed"))
+    schema, steps = state.schema, 0
+    path = write_cut(state, "changed")
+    while path_exists(spark, f"{path}/changed=true"):
+        state = spark.read.schema(schema).parquet(path)
+        path = write_cut(spread(edges, state), "changed")
+        steps += 1
+    return spark.read.schema(schema).parquet(path).select("id", "cluster"), steps
 
 
 def contract(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -46,18 +60,21 @@ def contract(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return both.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def connected_groups(pairs: DataFrame, a: str, b: str, trace: list[tuple[int, int]] | None = None) -> DataFrame:
     """(id, group_id) of every vertex that a pair ties to another one; ``group_id`` is the smallest id of the group.
 
     Pairs with a null side and pairs of a vertex with itself tie nothing; direction, order and repetition do not matter; no pairs give no
-    rows. Nothing but the number of edges left reaches the driver. Each level is written to the shared checkpoint folder.
+    rows. Nothing but whether rows are left reaches the driver. Each level is written to the shared checkpoint folder. ``trace``
+    takes, for each level, the number of steps and of edges (both directions) that it began with; counting them takes a job a level.
     """
     one = pairs.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src is not null and dst is not null and src <> dst")
     edges = cut(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     levels: list[DataFrame] = []
     while not edges.isEmpty():
-        clusters = cut(grow(edges, len(levels)))
+        clusters, steps = grow(edges, len(levels))
         levels.append(clusters)
+        if trace is not None:
+            trace.append((steps, edges.count()))
         edges = cut(contract(edges, clusters))
     if not levels:
         return one.select(F.col("src").alias("id"), F.col("src").alias("group_id")).limit(0)
