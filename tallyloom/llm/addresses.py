@@ -37,7 +37,8 @@ _KINDS = {
 }
 GENDER = {"улица": "f", "набережная": "f", "площадь": "f", "переулок": "m", "проспект": "m", "бульвар": "m", "проезд": "m", "шоссе": "n"}
 _NOT_USABLE = re.compile(r"^\W*(?:нет данных|уточняется|адрес в договоре|не указан\w*)?\W*$")
-_NOISE = re.compile(r"вход со двора|\d+\s*(?:-?й\s*)?этаж\w*|этаж\s*\d+|т[рц]?ц\s*«[^»]*»|тц\s+\w+|(?<![а-я])(?:оф(?:ис)?|пом(?:ещение)?|комн?)\.?\s*\d+\w?")
+# Remarks that are no part of an address.
+_NOISE = re.compile(r"вход\s+(?:со?|через|из)\s+[а-я]+|\d+\s*(?:-?й\s*)?этаж\w*|этаж\s*\d+|т[рц]?ц\s*«[^»]*»|тц\s+\w+|(?<![а-я])(?:оф(?:ис)?|пом(?:ещение)?|комн?)\.?\s*\d+\w?")
 _POSTCODE = re.compile(r"(?<!\d)\d{6}(?!\d)")
 _REGION = re.compile(r"([а-я]+)\s+(обл(?:асть)?|край)(?![а-я])\.?")
 _TOWN = re.compile(r"(?<![а-я])(?:город|гор|г)(?![а-я])[.\s]*([а-я]{3,}(?:-[а-я]+)*)")
@@ -111,8 +112,8 @@ def _street(s: str, town_known: bool) -> tuple[str | None, str | None, str]:
 
 
 @lru_cache(maxsize=100_000)
-def parse(address: str | None, store_name: str | None = None) -> Address | None:
-    """The parts of an address; the town from the store's name where the address has none. None for a placeholder or no house number."""
+def parse(address: str | None) -> Address | None:
+    """The parts of an address. None for a placeholder or no house number."""
     s = plain(address or "")
     if _NOT_USABLE.match(s):
         return None
@@ -142,11 +143,14 @@ def parse(address: str | None, store_name: str | None = None) -> Address | None:
         rest = [w for w in re.findall(r"[а-я]{4,}", s) if w not in ("город",)]
         town = next((w for w in rest if _TOWNISH.search(w)), rest[0] if rest else None)
     gender = stem_gender(name)[1]
-    hard = lambda w: w and w.replace("ь", "").replace("ъ", "")  # transliteration leaves the signs out
-    return Address(postcode, region, hard(town or town_of(store_name)), kind, ordinal, hard(name), GENDER.get(kind, gender), house, unit)
+    return Address(postcode, region, hard(town), kind, ordinal, hard(name), GENDER.get(kind, gender), house, unit)
 
 
-def town_of(store_name: str | None) -> str | None:
-    """The town that a store's name mentions: the last word with the look of one, chain names aside."""
-    words = [w for w in re.findall(r"[а-я]{4,}", plain(store_name or "")) if w not in ("магазин", "крынкино")]
-    return next((w for w in reversed(words) if _TOWNISH.search(w)), None)
+def hard(word: str | None) -> str | None:
+    """Without soft and hard signs, which transliteration leaves out."""
+    return word and word.replace("ь", "").replace("ъ", "")
+
+
+def townish_words(store_name: str | None) -> list[str]:
+    """The words of a store's name that have the look of a town's name, in their order."""
+    return [hard(w) for w in re.findall(r"[а-я]{4,}", plain(store_name or "")) if _TOWNISH.search(w)]

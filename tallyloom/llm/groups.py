@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom.session import cut, path_exists, write_cut
 
 #: Rate of the exponential shifts: the share of edges that a level leaves at most, in expectation.
-BETA = 0.3
+BETA = 0.2
 
 
 def shift(vertex: Column, level: int) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.addresses import Address, parse
+from tallyloom.llm.addresses import Address, parse, townish_words
 from tallyloom.llm.groups import connected_groups
-from tallyloom.llm.linkage import level, missing, near, with_probability
+from tallyloom.llm.linkage import level, missing, near, near_words, with_probability
 from tallyloom.session import cut
 
 PARTS = list(Address._fields)
@@ -20,17 +20,37 @@ LEAST_PROBABILITY = 0.5
 
 
 def _parse(address: pd.Series, name: pd.Series) -> pd.DataFrame:
-    rows = [parse(a if isinstance(a, str) else None, n if isinstance(n, str) else None) or Address() for a, n in zip(address, name)]
-    return pd.DataFrame(rows, columns=PARTS).astype(object)
+    text = lambda x: x if isinstance(x, str) else None
+    rows = [(*(parse(text(a)) or Address()), townish_words(text(n))) for a, n in zip(address, name)]
+    return pd.DataFrame(rows, columns=[*PARTS, "named"]).astype(object)
 
 
 def parsed(stores: DataFrame) -> DataFrame:
-    """(store_code, parts) of the records with a usable address; the region is the address's own, else the record's."""
-    schema = ", ".join(f"{p} string" for p in PARTS)
+    """(store_code, parts, named) of the records with a usable address; the region is the address's own, else the record's; ``named`` are the words of
+    the store's name that look like towns."""
+    schema = ", ".join(f"{p} string" for p in PARTS) + ", named array<string>"
     rows = stores.select("store_code", "region", F.pandas_udf(_parse, schema)("address", "store_name").alias("a")).filter("a.house is not null")
     named = F.lower(F.trim("region"))
     own = F.concat_ws(" ", F.regexp_replace(F.regexp_extract(F.translate(named, "ё", "е"), r"^([а-я]+)", 1), "(?:ая|яя|ой|ый|ий|ое|ее)$", ""), F.when(named.contains("край"), "край").otherwise("обл"))
-    return rows.select("store_code", *(F.col(f"a.{p}").alias(p) for p in PARTS if p != "region"), F.coalesce("a.region", F.when(named.isNotNull(), own)).alias("region"))
+    parts = [F.col(f"a.{p}").alias(p) for p in PARTS if p != "region"]
+    return rows.select("store_code", *parts, F.coalesce("a.region", F.when(named.isNotNull(), own)).alias("region"), "a.named")
+
+
+def with_named_town(records: DataFrame) -> DataFrame:
+    """``records`` without ``named``: where an address has no town, the last word of the store's name that is a town.
+
+    Towns and names of chains look alike; a word is taken for a town if the stores that have it in their names stand in that town at least as often
+    as in others, of those whose address states one. A word that no such store has is a town if some address states it. The words are
+    counted over all records, with map-side combine.
+    """
+    words = records.filter("town is not null").select("town", F.explode(F.array_distinct("named")).alias("w"))
+    seen = words.groupBy("w").agg(F.count_if(F.col("w") == F.col("town")).alias("there"), F.count("*").alias("all"))
+    towns = records.filter("town is not null").select(F.col("town").alias("w")).distinct().withColumn("stated", F.lit(True))
+    is_town = towns.join(seen, "w", "full").filter(F.coalesce(F.col("there") * 2 >= F.col("all"), F.lit(True))).select("w")
+    bare = records.filter("town is null").select("store_code", F.posexplode("named").alias("k", "w")).join(is_town, "w")
+    last = bare.groupBy("store_code").agg(F.max_by("w", "k").alias("by_name"))
+    j = records.join(last, "store_code", "left")
+    return j.withColumn("town", F.coalesce("town", "by_name")).drop("named", "by_name")
 
 
 def sound(name: str) -> F.Column:
@@ -43,13 +63,10 @@ def sound(name: str) -> F.Column:
 def corrected(addresses: DataFrame, column: str) -> DataFrame:
     """``addresses`` with rare spellings in a column replaced by the frequent one (FREQUENT times as many records) that is a slip away.
 
-    Works on the different words: a word meets those with which it shares a form with at most one letter removed.
+    Works on the different words.
     """
     words = addresses.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("w")).agg(F.sum("n").alias("n"))
-    cut_out = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.length("w"))))
-    forms = words.filter("length(w) >= 5").select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), cut_out))).alias("form"))
-    other = forms.select(F.col("w").alias("good"), F.col("n").alias("good_n"), "form")
-    slips = forms.join(other, "form").filter(F.col("good_n") >= F.col("n") * FREQUENT).filter(near(F.col("w"), F.col("good")))
+    slips = near_words(words).filter(F.col("other_n") >= F.col("n") * FREQUENT).select("w", F.col("other").alias("good"), F.col("other_n").alias("good_n"))
     best = slips.groupBy("w").agg(F.max_by("good", F.struct("good_n", "good")).alias("good"))
     j = addresses.join(best, F.col(column) == F.col("w"), "left")
     return j.withColumn(column, F.coalesce("good", column)).drop("w", "good")
@@ -65,20 +82,33 @@ def with_town_of_postcode(addresses: DataFrame) -> DataFrame:
 
 
 def candidates(addresses: DataFrame) -> DataFrame:
-    """(a, b): pairs of different addresses that share a block: house and unit, together with the postcode, the beginning or the end of the
-    town's name, or the street's sound in the region."""
-    here = F.concat_ws("|", F.col("house"), F.coalesce("unit", F.lit("")))
-    keys = F.array_compact(
-        F.array(
-            F.when(F.col("postcode").isNotNull(), F.concat_ws("|", F.lit("p"), "postcode", here)),
-            F.when(F.col("town").isNotNull(), F.concat_ws("|", F.lit("b"), F.substring("town", 1, 3), here)),
-            F.when(F.col("town").isNotNull(), F.concat_ws("|", F.lit("e"), F.reverse(F.substring(F.reverse("town"), 1, 5)), here)),
-            F.when(F.col("region").isNotNull(), F.concat_ws("|", F.lit("s"), "region", sound("name"), here)),
+    """(a, b): pairs of different addresses that share a block: street, house and unit, together with the postcode, the beginning or the end of the
+    town's name, or the region.
+
+    Streets are the same by sound, or by their letters a slip away: every address stands in the blocks of its own street and looks into those of
+    the streets near it, so a town's many first houses do not meet.
+    """
+    here = lambda street: F.concat_ws("|", street, F.col("house"), F.coalesce("unit", F.lit("")))
+
+    def keys(street: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(F.col("postcode").isNotNull(), F.concat_ws("|", F.lit("p"), "postcode", here(street))),
+                F.when(F.col("town").isNotNull(), F.concat_ws("|", F.lit("b"), F.substring("town", 1, 3), here(street))),
+                F.when(F.col("town").isNotNull(), F.concat_ws("|", F.lit("e"), F.reverse(F.substring(F.reverse("town"), 1, 5)), here(street))),
+                F.when(F.col("region").isNotNull(), F.concat_ws("|", F.lit("s"), "region", here(street))),
+            )
         )
-    )
-    blocks = addresses.select("id", F.explode(keys).alias("key"))
-    other = blocks.withColumnRenamed("id", "b")
-    return blocks.withColumnRenamed("id", "a").join(other, "key").filter("a < b").select("a", "b").distinct()
+
+    rows = addresses.withColumn("sound", sound("name"))
+    names = rows.groupBy(F.col("name").alias("w")).agg(F.first("sound").alias("n"))
+    # streets a slip away whose sounds differ
+    slips = near_words(names).filter(F.col("n") != F.col("other_n")).select(F.col("w").alias("name"), F.col("other_n").alias("near_sound"))
+    blocks = rows.select("id", F.explode(keys(F.col("sound"))).alias("key"))
+    looks = rows.join(slips, "name").select(F.col("id").alias("a"), F.explode(keys(F.col("near_sound"))).alias("key"))
+    looks = blocks.withColumnRenamed("id", "a").unionByName(looks)
+    met = looks.join(blocks.withColumnRenamed("id", "b"), "key").filter("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def compared(addresses: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -107,7 +137,7 @@ def same_building(stores: DataFrame) -> DataFrame:
     start, so neither a building with very many records nor a repeated row makes pairs. A link needs a probability of LEAST_PROBABILITY and
     agreement (a slip aside) of street, number and place; an address without town and postcode joins the only building that fits it.
     """
-    records = parsed(stores)
+    records = cut(with_named_town(cut(parsed(stores))))
     addresses = cut(records.groupBy(*PARTS).agg(F.min("store_code").alias("id"), F.count("*").alias("n")))
     stated = addresses.select("id", *(F.col(p).alias(f"stated_{p}") for p in PARTS))
     addresses = cut(with_town_of_postcode(corrected(corrected(addresses, "town"), "name")))
