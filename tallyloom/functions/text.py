@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Transliteration of Cyrillic letters.
 CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
-LATIN = "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh sch _ y _ e yu ya".replace("_", "").split(" ")
-#: Units that count things.
+LATIN = [
+    "a", "b", "v", "g", "d", "e", "e", "zh", "z", "i", "y", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "kh", "ts", "ch", "sh", "sch", "", "y", "", "e", "yu", "ya",
+]
+# Units that count things, sizes in a name, what suppliers append to names.
 COUNTED = ("шт", "уп", "пак", "рул", "pcs")
 VOLUME = r"(?iU)(\d+[.,]?\d*)\s*(мл|л|г|гр|кг|шт|уп|пак|рул|ml|l|g|kg|pcs)\b"
 SIZES = r"(?iU)\b\d+[.,]?\d*\s*(мл|л|г|гр|кг|шт|уп|пак|рул|ml|l|g|kg|pcs)\b"
@@ -103,6 +105,14 @@ def to_number(c: Column) -> Column:
     return F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))
 
 
+def code_text(df: DataFrame, column: str) -> Column:
+    """A code as text, outer spaces aside: a number without fraction is written without one, whether it came as a number or as text."""
+    text = F.trim(F.col(column).cast("string"))
+    if dict(df.dtypes)[column] in ("double", "float"):
+        text = F.when(F.col(column) == F.floor(F.col(column)), F.col(column).cast("decimal(38,0)").cast("string")).otherwise(text)
+    return F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1")
+
+
 def key_seed(c: Column) -> Column:
     """A whole number that depends on the key only: the first eight hex digits of its MD5."""
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")

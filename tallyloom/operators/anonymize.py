@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import key_seed
+from tallyloom.functions.text import code_text, key_seed
 from tallyloom.sources.schema import FIELDS
 
 #: What prices are multiplied by and what quantities grow by.
 PRICE_FACTOR, QTY_SHIFT = 1.117, 2
 
-# Own pools of words.
-BRAND_STARTS = "АРК БЛЕ ВЕЛ ГРИ ДИВ ЗЕН КЛИ ЛЮМ МИР НОР ОМЕ ПРИ РАД СВЕ ТИП УЛЬ ФОР ХОР ЮГА ЯРО".split()
-BRAND_ENDS = "А ЕКС ИТА ОН ОС УМ ЕТ АН ЕЛ ЕВА".split()
-STORES = "Рябина Клён Сосна Заря Маяк Радуга Вектор Полюс Феникс Родник Бриз Янтарь Топаз Гранит Ветер Якорь Колос Зефир Роща Вершина Долина Форт".split()
-COMPANIES = "Прогресс Союз Вымпел Кристалл Орион Север Восход Меридиан Контур Ладога".split()
-STREETS = "Садовая Лесная Речная Полевая Новая Мирная Южная Зелёная".split()
-CITIES = "Светлогорье Ясноград Новозёрск Тихоречье Верхнеполье".split()
-VARIANTS = "Лаванда Лимон Яблоко Хвоя Ромашка Океан Мята Роза Кедр Лайм Ваниль Хлопок".split()
-PACKS = "500мл 750мл 1000мл 1.3кг 2.4кг 600г 450мл 800мл 400мл 2кг 1.2л 900мл".split()
-DESCRIPTORS = {"посуд": "Гель для посуды", "чистящ": "Средство чистящее", "стирк": "Гель для стирки", "унитаза": "Блок для унитаза", "сантехник": "Очиститель сантехники", "уборк": "Средство для уборки", "освеж": "Освежитель воздуха", "ополаск": "Ополаскиватель", "пятновы": "Пятновыводитель"}
+#: Letters of made-up words: a word is a row of syllables, each a consonant and a vowel chosen by the key's digest.
+CONSONANTS, VOWELS = "БВГДЖЗКЛМНПРСТФХ", "АЕИОУ"
+#: Syllables of a word by kind: with three there are 512 000 words, so that few keys share one however many there are beside each other.
+SYLLABLES = 3
 
 
-def pick(pool: Sequence[str], key: Column, salt: str) -> Column:
-    """One of a pool by the key's seed."""
-    return F.element_at(F.array(*map(F.lit, pool)), (F.pmod(key_seed(F.concat(key, F.lit(salt))), F.lit(len(pool))) + 1).cast("int"))
+def word(key: Column, salt: str, syllables: int = SYLLABLES) -> Column:
+    """A word of so many syllables by the key's seed."""
+    seed, out = key_seed(F.concat(key, F.lit(salt))), []
+    for k in range(syllables):
+        part = F.floor(seed / F.lit((len(CONSONANTS) * len(VOWELS)) ** k)).cast("long")
+        for letters, each in ((CONSONANTS, len(VOWELS)), (VOWELS, 1)):
+            at = F.pmod(F.floor(part / F.lit(each)).cast("long"), F.lit(len(letters))).cast("int")
+            out.append(F.substring(F.lit(letters), at + 1, F.lit(1)))
+    return F.concat(*out)
 
 
 def numbered(df: DataFrame, key: str, base: str, between: str = "", taken: DataFrame | None = None) -> DataFrame:
     """Pseudonyms without repeats: base, base1, base2 and so on in the order of keys, after those that ``taken`` (base, n) holds already.
 
-    The numbers are made per base word. Keys with one base word are few beside all keys unless the keys are very many more than the words.
+    The numbers are made per base word, of which there are hundreds of thousands, so no task has more than its share of the keys.
     """
     w = Window.partitionBy(base).orderBy(key)
     at = F.row_number().over(w) - 1
@@ -43,17 +41,16 @@ def numbered(df: DataFrame, key: str, base: str, between: str = "", taken: DataF
     return df.withColumn("pseudonym", F.concat(F.col(base), F.when(at > 0, F.concat(F.lit(between), at.cast("string"))).otherwise("")))
 
 
-def brand_base(key: Column) -> Column:
-    return F.concat(pick(BRAND_STARTS, key, "s"), pick(BRAND_ENDS, key, "e"))
-
-
-BASES = {"brands": (brand_base, ""), "stores": (lambda k: pick(STORES, k, "n"), ""), "companies": (lambda k: pick(COMPANIES, k, "c"), " ")}
+def named(kind: str) -> tuple:
+    """How a kind of key is named: the base word, and what stands before its number."""
+    words = {"brands": lambda k: word(k, "b"), "stores": lambda k: F.concat(F.lit("Магазин "), F.initcap(word(k, "n"))), "companies": lambda k: F.concat(F.lit("Фирма "), F.initcap(word(k, "c")))}
+    return words[kind], "" if kind == "brands" else " "
 
 
 def pseudonyms(df: DataFrame, column: str, kind: str, known: DataFrame | None = None) -> DataFrame:
     """(key, pseudonym, base) of the keys of a column that ``known`` (same columns) does not hold; the numbering goes on behind the known ones."""
-    base, between = BASES[kind]
-    keys = df.select(F.trim(F.col(column).cast("string")).alias("key")).filter("key is not null and key <> ''").distinct()
+    base, between = named(kind)
+    keys = df.select(code_text(df, column).alias("key")).filter("key is not null and key <> ''").distinct()
     taken = None
     if known is not None:
         keys = keys.join(known.select("key"), "key", "left_anti")
@@ -61,15 +58,22 @@ def pseudonyms(df: DataFrame, column: str, kind: str, known: DataFrame | None =
     return numbered(keys.withColumn("base", base(F.col("key"))), "key", "base", between, taken).select("key", "pseudonym", "base")
 
 
+def store_key(df: DataFrame) -> str | None:
+    """The column that stores are told by: the code, else the name."""
+    return next((c for c in ("store_code", "store_name") if c in df.columns), None)
+
+
 def store_address(key: Column) -> Column:
-    return F.concat_ws(", ", pick(CITIES, key, "t"), F.concat(F.lit("ул. "), pick(STREETS, key, "a")), F.concat(F.lit("д. "), (F.pmod(key_seed(key), F.lit(99)) + 1).cast("string")))
+    """A made-up town, street and house."""
+    house = (F.pmod(key_seed(key), F.lit(99)) + 1).cast("string")
+    return F.concat_ws(", ", F.concat(F.lit("г. "), F.initcap(word(key, "t"))), F.concat(F.lit("ул. "), F.initcap(word(key, "a"))), F.concat(F.lit("д. "), house))
 
 
 def product_pseudonym(key: Column, category: Column, brand: Column) -> Column:
-    """Brand, what it is by the first keyword of the category, variant and pack; products are not numbered."""
-    low = F.lower(F.coalesce(category, F.lit("")))
-    what = F.coalesce(*(F.when(low.contains(k), F.lit(d)) for k, d in DESCRIPTORS.items()), F.lit("Средство"))
-    return F.concat_ws(" ", F.coalesce(brand, F.lit("БРЕНД")), what, pick(VARIANTS, key, "v"), pick(PACKS, key, "p"))
+    """Brand, category (which is not hidden), a made-up variety and a pack size; products are not numbered, since different ones may look alike."""
+    pack = F.concat(((F.pmod(key_seed(F.concat(key, F.lit("p"))), F.lit(40)) + 1) * 50).cast("string"), F.lit(" мл"))
+    what = F.coalesce(F.nullif(F.trim(category), F.lit("")), F.lit("Товар"))
+    return F.concat_ws(" ", F.coalesce(brand, F.lit("БРЕНД")), what, F.initcap(word(key, "v")), pack)
 
 
 def changed_price(c: Column) -> Column:
@@ -80,18 +84,19 @@ def changed_price(c: Column) -> Column:
 def anonymized(df: DataFrame, maps: dict[str, DataFrame], fields: dict[str, str] = FIELDS) -> DataFrame:
     """``df`` by the action of each field: kept, dropped, looked up (a key without pseudonym gives null), multiplied or shifted.
 
-    ``canonical_name`` is covered like the product's name. ``maps`` has brands, stores and companies as ``pseudonyms`` makes them.
+    ``canonical_name`` is covered like the product's name. ``maps`` has brands, stores (by ``store_key``) and companies as ``pseudonyms`` makes them.
     """
     out, columns = df, []
     if "canonical_name" in df.columns:
         fields = fields | {"canonical_name": "anon_product"}
     kinds = {"anon_brand": "brands", "anon_store": "stores", "anon_company": "companies"}
-    brand = F.lit(None).cast("string")
+    brand, at_store = F.lit(None).cast("string"), store_key(df)
     for c in df.columns:
         kind = kinds.get(fields.get(c, "keep"))
-        if kind and c != "address":
+        of = at_store if kind == "stores" else c  # names of stores go by the store's code
+        if kind and c != "address" and of:
             m = maps[kind].select(F.col("key").alias(f"_k_{c}"), F.col("pseudonym").alias(f"_p_{c}"))
-            out = out.join(m, F.trim(F.col(c).cast("string")) == F.col(f"_k_{c}"), "left")
+            out = out.join(m, code_text(df, of) == F.col(f"_k_{c}"), "left")
             brand = F.col(f"_p_{c}") if c == "brand" else brand
     category = F.coalesce(*(F.col(c) for c in df.columns if c.startswith("category_")), F.lit(""))
     for c in df.columns:
@@ -99,7 +104,7 @@ def anonymized(df: DataFrame, maps: dict[str, DataFrame], fields: dict[str, str]
         if action == "drop":
             continue
         if c == "address" and action == "anon_store":
-            columns.append(store_address(F.col("store_name") if "store_name" in df.columns else F.col(c)).alias(c))
+            columns.append(store_address(code_text(df, at_store) if at_store else F.col(c)).alias(c))
         elif action in kinds:
             columns.append(F.col(f"_p_{c}").alias(c))
         elif action == "anon_product":

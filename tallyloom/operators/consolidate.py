@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import is_blank, to_number
 from tallyloom.sources.colmap import fields_of
-from tallyloom.sources.schema import METRICS, OUTPUT_ORDER
+from tallyloom.sources.schema import FIELDS, METRICS, OUTPUT_ORDER
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Columns renamed to their canonical fields (other columns stay), in the output order with the others behind."""
+def canonical(df: DataFrame, drop: bool = True) -> DataFrame:
+    """Columns renamed to their canonical fields (other columns stay), in the output order with the others behind.
+
+    Fields whose action is ``drop`` (codes and barcodes) are left out; ``drop=False`` keeps them for a step that needs them, such as
+    pseudonyms by store code.
+    """
     df = df.toDF(*(c.strip() for c in df.columns))
     of = {h: f for f, h in fields_of(df.columns).items()}
     taken = set(of.values())
     # a column that belongs to no field but has a field's name gives way
     df = df.select(*(F.col(f"`{c}`").alias(of.get(c, f"{c}_other" if c in taken else c)) for c in df.columns))
+    if drop:
+        df = df.drop(*(f for f, action in FIELDS.items() if action == "drop"))
     first = [c for c in OUTPUT_ORDER if c in df.columns]
     return df.select(*first, *(c for c in df.columns if c not in first))
 

@@ -80,7 +80,7 @@ def merge_tables(spark: SparkSession, d: str) -> list[DataFrame]:
     parts = [s.filter(F.col("source_file") == f"part_{k}").drop("source_file", "period") for k in range(3)]
     parts[0] = parts[0].withColumnsRenamed({"store_name": "Название магазина", "sales_rub": "Выручка", "qty_sold": "Кол-во"}).withColumn("Примечание", F.lit("x"))
     parts[1] = parts[1].withColumnsRenamed({"region": "Регион сбыта", "category_1": "Уровень 1", "cost_rub": "Себестоимость"}).drop("supplier")
-    return [co.canonical(p.drop("item_code", "store_code")) for p in parts]
+    return [co.canonical(p) for p in parts]
 
 
 def merge_union(spark: SparkSession, d: str) -> DataFrame:
@@ -156,9 +156,10 @@ def command_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anonymized_lines(spark: SparkSession, d: str) -> DataFrame:
-    s = sales(spark, d).select("store_name", "address", "region", "brand", "supplier", "category_1", "item_name", "item_code", "qty_sold", "sales_rub", "cost_rub")
-    maps = {"brands": an.pseudonyms(s, "brand", "brands"), "stores": an.pseudonyms(s, "store_name", "stores"), "companies": an.pseudonyms(s, "supplier", "companies")}
-    return an.anonymized(s, maps).groupBy("region", "brand").agg(F.count("*").alias("n"), F.round(F.sum("sales_rub"), 2).alias("sales_rub"), F.sum("qty_sold").alias("qty_sold"))
+    s = sales(spark, d).select("store_code", "store_name", "address", "region", "brand", "supplier", "category_1", "item_name", "item_code", "qty_sold", "sales_rub", "cost_rub")
+    maps = {"brands": an.pseudonyms(s, "brand", "brands"), "stores": an.pseudonyms(s, an.store_key(s), "stores"), "companies": an.pseudonyms(s, "supplier", "companies")}
+    keys = ("region", "brand", "store_name", "address", "supplier")
+    return an.anonymized(s, maps).groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("sales_rub"), 2).alias("sales_rub"), F.sum("qty_sold").alias("qty_sold"), F.min("item_name").alias("first_item"))
 
 
 def corpus_unique(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +225,7 @@ QUERIES = {
     "suggest_categories": suggest,
     "corpus_unique": corpus_unique,
     "anonymize_brand": lambda spark, d: an.pseudonyms(sales(spark, d), "brand", "brands").select("key", "pseudonym"),
-    "anonymize_store": lambda spark, d: an.pseudonyms(sales(spark, d), "store_name", "stores").select("key", "pseudonym"),
+    "anonymize_store": lambda spark, d: an.pseudonyms(sales(spark, d), "store_code", "stores").select("key", "pseudonym"),
     "anonymize_company": lambda spark, d: an.pseudonyms(sales(spark, d), "supplier", "companies").select("key", "pseudonym"),
     "anonymize_measures": anonymized_lines,
     "confusion_sweep": confusion_sweep,
@@ -369,17 +370,37 @@ select nm "name", canonical_name from h join k using (grp) where nm <> canonical
 
 
 
-def _pool(words, salt: str) -> str:
-    listed = ", ".join(f"'{w}'" for w in words)
-    return f"([{listed}])[(('0x' || substr(md5(key || '{salt}'), 1, 8))::bigint % {len(words)} + 1)::int]"
+def _word(key: str, salt: str) -> str:
+    """The made-up word of a key; operands as in Spark."""
+    seed, out, n = f"('0x' || substr(md5({key} || '{salt}'), 1, 8))::bigint", [], len(an.CONSONANTS) * len(an.VOWELS)
+    for k in range(an.SYLLABLES):
+        out.append(f"substr('{an.CONSONANTS}', ({seed} // {n**k} // {len(an.VOWELS)} % {len(an.CONSONANTS)} + 1)::int, 1)")
+        out.append(f"substr('{an.VOWELS}', ({seed} // {n**k} % {len(an.VOWELS)} + 1)::int, 1)")
+    return "(" + " || ".join(out) + ")"
 
 
-for _name, _column, _base, _between in (
-    ("brand", "brand", f"{_pool(an.BRAND_STARTS, 's')} || {_pool(an.BRAND_ENDS, 'e')}", ""),
-    ("store", "store_name", _pool(an.STORES, "n"), ""),
-    ("company", "supplier", _pool(an.COMPANIES, "c"), " "),
-):
-    ORACLE[f"anonymize_{_name}"] = _sales_sql(
-        f", k as (select distinct trim({_column}) key from sales_view), b as (select key, {_base} base from k), n as (select *, row_number() over (partition by base order by key) - 1 i from b) "
-        f"select key, base || case when i > 0 then '{_between}' || i else '' end pseudonym from n"
+def _initcap(x: str) -> str:
+    return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
+
+
+def _pseudonyms(column: str, base: str, between: str) -> str:
+    return (
+        f"(select key, base || case when i > 0 then '{between}' || i else '' end pseudonym from (select *, row_number() over (partition by base order by key) - 1 i "
+        f"from (select key, {base} base from (select distinct trim({column}::varchar) key from sales_view))))"
     )
+
+
+_PSEUDONYMS = {
+    "brand": _pseudonyms("brand", _word("key", "b"), ""),
+    "store": _pseudonyms("store_code", f"'Магазин ' || {_initcap(_word('key', 'n'))}", " "),
+    "company": _pseudonyms("supplier", f"'Фирма ' || {_initcap(_word('key', 'c'))}", " "),
+}
+ORACLE |= {f"anonymize_{name}": _sales_sql(f"select key, pseudonym from {q}") for name, q in _PSEUDONYMS.items()}
+_SEED = "('0x' || substr(md5({}), 1, 8))::bigint"
+ORACLE["anonymize_measures"] = _sales_sql(
+    f"""select region, b.pseudonym brand, s.pseudonym store_name, c.pseudonym supplier,
+ 'г. ' || {_initcap(_word('store_code::varchar', 't'))} || ', ул. ' || {_initcap(_word('store_code::varchar', 'a'))} || ', д. ' || ({_SEED.format('store_code::varchar')} % 99 + 1) address, count(*) n,
+ round(sum(round_even(sales_rub::double * 1.117 * 100, 0) / 100), 2) sales_rub, sum(qty_sold::double + 2) qty_sold,
+ min(b.pseudonym || ' ' || category_1 || ' ' || {_initcap(_word('item_name', 'v'))} || ' ' || (({_SEED.format("item_name || 'p'")} % 40 + 1) * 50) || ' мл') first_item
+ from sales_view join {_PSEUDONYMS['brand']} b on b.key = trim(brand) join {_PSEUDONYMS['store']} s on s.key = store_code::varchar join {_PSEUDONYMS['company']} c on c.key = trim(supplier) group by all"""
+)

@@ -31,14 +31,15 @@ FIELDS = {
     "sales_rub": "mul_price",
     "cost_rub": "mul_price",
 }
+# The measures.
 METRICS = ("qty_sold", "sales_rub", "cost_rub")
 
 # Order of the output columns.
-OUTPUT_ORDER = (
-    "week month year store_name address region store_format store_subformat distribution_center category_0 category_1 category_2 "
-    "category_3 category_4 target_category category_confidence canonical_name item_name brand manufacturer supplier weight unit "
-    "qty_sold sales_rub cost_rub"
-).split()
+OUTPUT_ORDER = [
+    "week", "month", "year", "store_name", "address", "region", "store_format", "store_subformat", "distribution_center", "category_0", "category_1", "category_2",
+    "category_3", "category_4", "target_category", "category_confidence", "canonical_name", "item_name", "brand", "manufacturer", "supplier", "weight", "unit",
+    "qty_sold", "sales_rub", "cost_rub",
+]
 
 # Header names of each field, as extracts write them.
 ALIASES = {

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import jaccard, normal_name, to_number, token_set, volume_key
+from tallyloom.functions.text import code_text, jaccard, normal_name, to_number, token_set, volume_key
 from tallyloom.operators import analytics as a
 from tallyloom.operators import anonymize as an
 from tallyloom.operators import categorize as cat
@@ -181,3 +181,20 @@ def test_plans_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("Fairy 900мл", ["x"])], "name string, src_cats array<string>")
     for d in (cat.classified(df), df.select(normal_name(F.col("name")), volume_key(F.col("name")))):
         assert "Python" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stores_go_by_their_code(spark):
+    df = spark.createDataFrame([(5.0, "Заря", "a"), (6.0, "Заря", "b"), (7.0, None, None), (5.0, "Заря-2", "c"), (None, "Маяк", "d")], "store_code double, store_name string, address string")
+    maps = {"stores": an.pseudonyms(df, an.store_key(df), "stores")}
+    assert {r.key for r in maps["stores"].collect()} == {"5", "6", "7"}
+    rows = [(r.store_name, r.address) for r in an.anonymized(df, maps).collect()]
+    assert len(rows) == 5 and len({n for n, _ in rows if n}) == 3 and len({a for _, a in rows if a}) == 3 and [r[0] for r in rows].count(None) == 1
+    assert "store_code" not in an.anonymized(df, maps).columns
+    texts = spark.createDataFrame([("5.0",), (" 05 ",), ("x.0",), (None,)], "c string")
+    assert [r[0] for r in texts.select(code_text(texts, "c")).collect()] == ["5", "05", "x.0", None]
+
+
+def test_many_keys_of_one_word(spark, monkeypatch):
+    monkeypatch.setattr(an, "SYLLABLES", 1)
+    keys = spark.range(2000).select(F.col("id").cast("string").alias("b"))
+    assert an.pseudonyms(keys, "b", "brands").select("pseudonym").distinct().count() == 2000
