@@ -121,6 +121,17 @@ def test_leaks(spark):
     assert leaked_items(d, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_slips_and_short_items(spark):
+    words = ITEM.split()
+    slipped = " ".join(w[:2] + w[3:] if k % 6 == 3 and len(w) > 4 else w for k, w in enumerate(words))  # a letter lost in every sixth word
+    half = slipped[: int(len(slipped) * 0.62)]
+    docs = [slipped, "пролог " * 30 + half + " эпилог" * 30, "проверочная тарификация", "другое Проверочная, тарификация другое", "да нет", " ".join(reversed(words))]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(docs)] + [(0, slipped)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "Проверочная тарификация!"), (3, "да нет"), (1, ITEM)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaked_items(d, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == [(0, 1), (1, 1), (2, 2), (3, 2)]
+
+
 @needs_tables
 def test_leaks_against_all_pairs(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "eval_items"))
