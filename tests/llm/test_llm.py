@@ -266,3 +266,13 @@ def test_listings_without_content(spark):
     rows = [(1, "Шампунь лимон"), (2, "Шампунь лимон"), (3, "Шампунь мята 200 мл"), (4, "Шампунь мята 400 мл"), (5, "Шампунь мята"), (6, "Шампунь мята"), (7, "Шампунь 300 мл"), (8, "Шампунь 300 мл"), (9, None), (9, None)]
     df = spark.createDataFrame([(i, i, n, "Альфа", None, None, None, None, None, None, None, "x_1", "x") for i, n in rows], LISTING)
     assert groups_of(df) == {frozenset(g) for g in ([1, 2], [3], [4], [5], [6], [7], [8], [9])}
+
+
+@pytest.mark.parametrize(
+    ("one", "other", "same"),
+    [("𝐀bc １", "Abc 1", True), ("Ⅳ том", "IV том", True), ("ｶﾞｽ", "ガス", True), ("ᎪᏴ", "AB", True), ("ﬁn", "fin", True), ("Օk", "Ok", True), ("x²", "x2", False), ("①", "1", False), ("ёж", "еж", False), ("е́", "é", True), ("З", "3", False), ("a", "A", False)],
+)
+def test_wide_table_of_look_alikes(spark, one, other, same):
+    df = spark.createDataFrame([(1, one + " хвост"), (2, other + " хвост"), (3, other + " хвост")], "doc_id long, text string")
+    got = {tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()}
+    assert got == ({(1, 2), (1, 3)} if same else set())
