@@ -42,6 +42,14 @@ def hampel_of_all(df: DataFrame, keys: Sequence[str], step: str, values: Sequenc
     return df.select(*cols, *(f"{v}_median" for v in values), *(mad(v).alias(f"{v}_mad") for v in values))
 
 
+def medians_of_all(df: DataFrame, keys: Sequence[str], step: str, values: Sequence[str], half_window: int) -> DataFrame:
+    """As ``hampel_of_all``, medians only."""
+    w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-half_window, half_window)
+    cols = df.columns
+    df = df.select(*cols, F.collect_list(F.struct(*values)).over(w).alias("_near"))
+    return df.select(*cols, *(array_median(F.array_compact(F.col("_near")[v])).alias(f"{v}_median") for v in values))
+
+
 def sorted_median(s: Column) -> Column:
     n = F.size(s)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
@@ -71,8 +79,30 @@ def series_weeks(sales: DataFrame) -> DataFrame:
     )
 
 
-def series_profile(sales: DataFrame, sigmas: float, stuck_weeks: int, half_window: int | None) -> DataFrame:
-    """Per store, item and week what is usual (median, deviation, price and cost of a piece) and the values that stand still.
+MEASURES = ("qty_sold", "sales_rub", "cost_rub")
+
+
+def hampel_flags(sales: DataFrame, half_window: int = 13, sigmas: float = 3.0, least: int = 5) -> DataFrame:
+    """(store_code, item_code, week_no, field, value, median, mad) of each weekly reading beyond the Hampel bounds of the weeks around it.
+
+    A reading is flagged if it lies farther than ``sigmas`` scaled median absolute deviations from the median of the ``half_window`` weeks before
+    and after it, itself included, of which ``least`` have a reading. The bounds follow a slow drift of the series, which bounds over the whole
+    series do not. The row loaded last holds for a week. Null and non-finite readings take no part; where more than half the readings
+    around are equal any other is flagged. An empty table gives an empty result.
+    """
+    weeks = series_weeks(sales).select(*SERIES, "week_no", *MEASURES)
+    w = Window.partitionBy(*SERIES).orderBy("week_no").rangeBetween(-half_window, half_window)
+    weeks = weeks.withColumns({f"{c}_n": F.count(c).over(w) for c in MEASURES})
+    weeks = hampel_of_all(weeks, SERIES, "week_no", MEASURES, half_window)
+    flag = lambda c: (F.col(f"{c}_n") >= least) & beyond_hampel(F.col(c), F.col(f"{c}_median"), F.col(f"{c}_mad"), sigmas)
+    found = F.array_compact(
+        F.array(*(F.when(flag(c), F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.col(f"{c}_median").alias("median"), F.col(f"{c}_mad").alias("mad"))) for c in MEASURES))
+    )
+    return weeks.select(*SERIES, "week_no", F.inline(found))
+
+
+def series_profile(sales: DataFrame, stuck_weeks: int, half_window: int | None) -> DataFrame:
+    """Per store, item and week what is usual (the median, also of price and cost of a piece) and the values that stand still.
 
     The input of the windows has one row per series and week, whatever the number of rows delivered, so no window is larger
     than the weeks of one series.
@@ -82,14 +112,11 @@ def series_profile(sales: DataFrame, sigmas: float, stuck_weeks: int, half_windo
     weeks = weeks.withColumns({f"{c}_piece": F.col(c) / piece for c in ("sales_rub", "cost_rub")})
     by = Window.partitionBy(*SERIES)
     w = by.orderBy("week_no")
+    measures = (*MEASURES, "sales_rub_piece", "cost_rub_piece")
     if half_window is None:
-        measures = ("qty_sold", "sales_rub", "cost_rub", "sales_rub_piece", "cost_rub_piece")
         weeks = weeks.withColumns({f"{c}_median": F.percentile(c, F.lit(0.5)).over(by) for c in measures})
-        weeks = weeks.withColumns(
-            {f"{c}_mad": F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), F.lit(0.5)).over(by) for c in measures}
-        )
     else:
-        weeks = hampel_of_all(weeks, SERIES, "week_no", ("qty_sold", "sales_rub", "cost_rub", "sales_rub_piece", "cost_rub_piece"), half_window)
+        weeks = medians_of_all(weeks, SERIES, "week_no", measures, half_window)
     for c in ("sales_rub", "cost_rub"):
         weeks = weeks.withColumn(f"{c}_new", F.when(F.col(f"{c}_first") == F.lag(f"{c}_first").over(w), 0).otherwise(1))
     for c in ("sales_rub", "cost_rub"):
@@ -100,36 +127,31 @@ def series_profile(sales: DataFrame, sigmas: float, stuck_weeks: int, half_windo
     return weeks
 
 
-def implausible_readings(
-    sales: DataFrame, times: float = 10.0, sigmas: float = 3.0, stuck_weeks: int = 5, half_window: int | None = None
-) -> DataFrame:
+def implausible_readings(sales: DataFrame, times: float = 10.0, stuck_weeks: int = 5, half_window: int | None = None) -> DataFrame:
     """(row_id, field, reason) of each reading that cannot be right beside the ordinary weeks of its store and item.
 
-    * spike: beyond the Hampel bounds of its series and more than ``times`` the median;
-    * price: per piece less than the median divided by ``times`` (and beyond the Hampel bounds), the quantity being ordinary
-      and positive;
+    * spike: more than ``times`` the median. In a series without returns that is always beyond the Hampel bounds of three scaled deviations:
+      the deviation is the median at most, so the bounds end at 5.5 times the median; it is therefore not computed here (``hampel_flags``);
+    * price: per piece less than the median divided by ``times``, the quantity being ordinary and positive;
     * sign: negative, while another measure of the row is positive;
     * stuck: ``sales_rub`` or ``cost_rub`` the same to the kopeck over ``stuck_weeks`` recorded weeks, and ``qty_sold`` of
       the rows in which both are.
 
-    A reading has the first reason that holds of spike, sign, price, stuck. ``half_window=None`` takes the whole series for the median and the deviation. Null and non-finite readings are no case, nor
-    are rows without store, item or readable week. A series whose median is 0 or null has no spikes.
+    A reading has the first reason that holds of spike, sign, price, stuck. ``half_window=None`` takes the whole series for the median. Null and
+    non-finite readings are no case, nor are rows without store, item or readable week. A series whose median is 0 or null has no spikes.
     """
-    profile = series_profile(sales, sigmas, stuck_weeks, half_window)
-    stats = [f"{c}_{k}" for c in ("qty_sold", "sales_rub", "cost_rub", "sales_rub_piece", "cost_rub_piece") for k in ("median", "mad")]
+    profile = series_profile(sales, stuck_weeks, half_window)
+    stats = [f"{c}_median" for c in (*MEASURES, "sales_rub_piece", "cost_rub_piece")]
     profile = profile.select(*SERIES, "week_no", *stats, "sales_rub_stuck", "cost_rub_stuck")
     rows = weekly_sales(sales).select(
         "row_id", *SERIES, "week_no", *(finite(F.col(c)).alias(c) for c in ("qty_sold", "sales_rub", "cost_rub"))
     )
     j = rows.join(profile, [*SERIES, "week_no"])
-    q, fields = F.col("qty_sold"), ("qty_sold", "sales_rub", "cost_rub")
-
-    def far(x: Column, c: str) -> Column:
-        return beyond_hampel(x, F.col(f"{c}_median"), F.col(f"{c}_mad"), sigmas)
+    q, fields = F.col("qty_sold"), MEASURES
 
     def spike(c: str) -> Column:
         m = F.col(f"{c}_median")
-        return far(F.abs(F.col(c)), c) & (m > 0) & (F.abs(F.col(c)) > m * times)
+        return (m > 0) & (F.abs(F.col(c)) > m * times)
 
     ordinary = (q > 0) & ~F.coalesce(spike("qty_sold"), F.lit(False))
 

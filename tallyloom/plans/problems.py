@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.periods import iso_year_week
 from tallyloom.operators.drift import schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
-from tallyloom.operators.spikes import implausible_readings
+from tallyloom.operators.spikes import hampel_flags, implausible_readings
 from tallyloom.operators.units import contents
 from tallyloom.session import table
 
@@ -37,10 +37,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_hampel_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the median and deviation of the 27 weeks around each week instead of the whole series."""
+    """The same with the median of the 27 weeks around each week instead of the whole series."""
     return implausible_readings(table(spark, folder, "sales"), half_window=13)
 
 
+def p2_hampel_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly readings beyond three scaled median absolute deviations from the median of the 27 weeks around them."""
+    return hampel_flags(table(spark, folder, "sales")).select("store_code", "item_code", *iso_year_week("week_no"), "field", "value")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Columns added, removed, renamed or retyped against the file of the feed received before."""
     return schema_changes(table(spark, folder, "raw_extracts")).select("file_id", "field", "change")
@@ -61,6 +66,7 @@ QUERIES = {
     "p1_rolling_totals": p1_rolling_totals,
     "p2_found": p2_found,
     "p2_hampel_rolling": p2_hampel_rolling,
+    "p2_hampel_flags": p2_hampel_flags,
     "p4_found": p4_found,
     "p4_unified": p4_unified,
     "p5_found": p5_found,
@@ -84,6 +90,33 @@ t as (select *, sum(q) over w4 q4, sum(s) over w4 s4, sum(q) over w13 q13, sum(s
   window w4 as (partition by store_code, item_code order by week_no range between 3 preceding and current row),
   w13 as (partition by store_code, item_code order by week_no range between 12 preceding and current row))"""
 
+#: Readings that cannot be right: the median of a series, or of the weeks around each (``med`` is per series and week).
+_LAST = f"""with {_WEEKS},
+last as (select store_code, item_code, week_no, arg_max(struct_pack(q := qty_sold, s := sales_rub, c := cost_rub), (loaded_at, row_id)) v,
+  arg_min(struct_pack(s := round(sales_rub * 100)::bigint, c := round(cost_rub * 100)::bigint), row_id) f from g group by all)"""
+_MEDIANS = """select store_code, item_code, week_no, median(v.q) over w mq, median(v.s) over w ms, median(v.c) over w mc,
+  median(case when v.q > 0 then v.s / v.q end) over w mps, median(case when v.q > 0 then v.c / v.q end) over w mpc from last"""
+_SERIES_WINDOW, _AROUND = "w as (partition by store_code, item_code)", "w as (partition by store_code, item_code order by week_no range between 13 preceding and 13 following)"
+
+
+def _implausible(window: str) -> str:
+    return f"""{_LAST},
+med as ({_MEDIANS} window {window}),
+flags as (select *, f.s fs, f.c fc, case when f.s = lag(f.s) over w then 0 else 1 end ns, case when f.c = lag(f.c) over w then 0 else 1 end nc
+  from last window w as (partition by store_code, item_code order by week_no)),
+runs as (select *, sum(ns) over w rs, sum(nc) over w rc from flags window w as (partition by store_code, item_code order by week_no rows unbounded preceding)),
+stuck as (select *, case when count(fs) over (partition by store_code, item_code, rs) >= 5 then fs end ss, case when count(fc) over (partition by store_code, item_code, rc) >= 5 then fc end sc from runs),
+j as (select g.*, m.* exclude (store_code, item_code, week_no), round(sales_rub * 100)::bigint = ss st_s, round(cost_rub * 100)::bigint = sc st_c from g
+  join med m using (store_code, item_code, week_no) join stuck using (store_code, item_code, week_no)),
+k as (select *, qty_sold > 0 and not coalesce(mq > 0 and abs(qty_sold) > 10 * mq, false) okq from j)
+select row_id, unnest([case when qty_sold is null then null when spike_q then ['qty_sold', 'spike'] when sign_q then ['qty_sold', 'sign'] when st_s and st_c then ['qty_sold', 'stuck'] end,
+  case when spike_s then ['sales_rub', 'spike'] when sign_s then ['sales_rub', 'sign'] when cheap_s then ['sales_rub', 'price'] when st_s then ['sales_rub', 'stuck'] end,
+  case when spike_c then ['cost_rub', 'spike'] when sign_c then ['cost_rub', 'sign'] when cheap_c then ['cost_rub', 'price'] when st_c then ['cost_rub', 'stuck'] end]) x from (
+ select *, mq > 0 and abs(qty_sold) > 10 * mq spike_q, ms > 0 and abs(sales_rub) > 10 * ms spike_s, mc > 0 and abs(cost_rub) > 10 * mc spike_c,
+  qty_sold < 0 and greatest(sales_rub, cost_rub) > 0 sign_q, sales_rub < 0 and greatest(qty_sold, cost_rub) > 0 sign_s, cost_rub < 0 and greatest(qty_sold, sales_rub) > 0 sign_c,
+  okq and mps > 0 and sales_rub / qty_sold * 10 < mps cheap_s, okq and mpc > 0 and cost_rub / qty_sold * 10 < mpc cheap_c from k)"""
+
+
 ORACLE = {
     "p1_rolling_totals": _ROLLING
     + """ select isoyear(monday)::int "year", weekofyear(monday)::int "week", store_code, item_code, age::int age, q::double qty_sold, s / 100.0::double sales_rub,
@@ -92,19 +125,12 @@ ORACLE = {
     "p1_found": _ROLLING
     + """ select store_code, item_code, isoyear(monday)::int "year", weekofyear(monday)::int "week" from t
  where age >= 13 and q13 > 0 and s13 > 0 and q4 * 13 > q13 * 8 and s4 * 13 > s13 * 8""",
-    "p2_found": f"""with {_WEEKS},
-last as (select store_code, item_code, week_no, arg_max(struct_pack(q := qty_sold, s := sales_rub, c := cost_rub), (loaded_at, row_id)) v,
-  arg_min(struct_pack(s := round(sales_rub * 100)::bigint, c := round(cost_rub * 100)::bigint), row_id) f from g group by all),
-med as (select store_code, item_code, median(v.q) mq, median(v.s) ms, median(v.c) mc,
-  median(v.s / v.q) filter (v.q > 0) mps, median(v.c / v.q) filter (v.q > 0) mpc from last group by all),
-flags as (select *, f.s fs, f.c fc, case when f.s = lag(f.s) over w then 0 else 1 end ns, case when f.c = lag(f.c) over w then 0 else 1 end nc
-  from last window w as (partition by store_code, item_code order by week_no)),
-runs as (select *, sum(ns) over w rs, sum(nc) over w rc from flags window w as (partition by store_code, item_code order by week_no rows unbounded preceding)),
-stuck as (select *, case when count(fs) over (partition by store_code, item_code, rs) >= 5 then fs end ss, case when count(fc) over (partition by store_code, item_code, rc) >= 5 then fc end sc from runs),
-j as (select g.*, m.* exclude (store_code, item_code), round(sales_rub * 100)::bigint = ss st_s, round(cost_rub * 100)::bigint = sc st_c from g
-  join med m using (store_code, item_code) join stuck using (store_code, item_code, week_no)),
-k as (select *, qty_sold > 0 and not coalesce(mq > 0 and abs(qty_sold) > 10 * mq, false) okq from j)
-select row_id, 'qty_sold' field from k where qty_sold is not null and ((mq > 0 and abs(qty_sold) > 10 * mq) or (qty_sold < 0 and greatest(sales_rub, cost_rub) > 0) or (st_s and st_c))
-union all select row_id, 'sales_rub' from k where (ms > 0 and abs(sales_rub) > 10 * ms) or (okq and mps > 0 and sales_rub / qty_sold * 10 < mps) or (sales_rub < 0 and greatest(qty_sold, cost_rub) > 0) or st_s
-union all select row_id, 'cost_rub' from k where (mc > 0 and abs(cost_rub) > 10 * mc) or (okq and mpc > 0 and cost_rub / qty_sold * 10 < mpc) or (cost_rub < 0 and greatest(qty_sold, sales_rub) > 0) or st_c""",
+    "p2_found": f"select row_id, x[1] field from ({_implausible(_SERIES_WINDOW)}) where x is not null",
+    "p2_hampel_rolling": f"select row_id, x[1] field, x[2] reason from ({_implausible(_AROUND)}) where x is not null",
+    "p2_hampel_flags": f"""{_LAST},
+r as (select store_code, item_code, week_no, unnest([struct_pack(f := 'qty_sold', x := v.q), struct_pack(f := 'sales_rub', x := v.s), struct_pack(f := 'cost_rub', x := v.c)]) o from last),
+t as (select store_code, item_code, week_no, o.f f, o.x x from r where o.x is not null),
+h as (select *, median(x) over w m, mad(x) over w d, count(*) over w n, date '1970-01-05' + week_no * 7 monday from t
+  window w as (partition by store_code, item_code, f order by week_no range between 13 preceding and 13 following))
+select store_code, item_code, isoyear(monday)::int "year", weekofyear(monday)::int "week", f field, x "value" from h where n >= 5 and abs(x - m) > 3 * 1.4826 * d""",
 }

@@ -13,7 +13,7 @@ from tallyloom.functions.measures import UNITS, convert, parse_content, quantity
 from tallyloom.functions.periods import first_week, with_iso_week
 from tallyloom.operators.drift import schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
-from tallyloom.operators.spikes import hampel, hampel_of_all, implausible_readings
+from tallyloom.operators.spikes import hampel, hampel_flags, hampel_of_all, implausible_readings
 from tallyloom.operators.units import category_kinds, contents, measured, readings
 from tallyloom.plans.problems import p2_hampel_rolling
 from tallyloom.sources.colmap import map_headers
@@ -111,6 +111,20 @@ def test_rolling_window_outlasts_a_level_error(spark, tmp_path):
     assert found == {(w, "sales_rub", "spike") for w in range(17, 24)}
 
 
+def test_hampel_follows_a_drift(spark):
+    """A level that doubles over two years: a reading that was ordinary a year ago stands out now, which bounds over the whole series cannot see."""
+    weeks = [(f"{2020 + k // 50}-W{k % 50 + 1:02}", None, 1, 1, 10.0 + k + k % 3, 1000.0, None, 0) for k in range(100)]
+    weeks[80] = (*weeks[80][:4], 25.0, 1000.0, None, 0)  # ordinary at week 15
+    weeks[20] = (*weeks[20][:4], 95.0, 1000.0, None, 0)  # ordinary at week 85
+    weeks[50] = (*weeks[50][:5], 1001.0, None, 0)
+    df = sales(spark, weeks)
+    got = {(r.field, r.value) for r in hampel_flags(df).collect()}
+    assert got == {("qty_sold", 25.0), ("qty_sold", 95.0), ("sales_rub", 1001.0)}
+    whole = hampel(df.select("store_code", "row_id", "qty_sold"), ["store_code"], "row_id", "qty_sold").filter(F.abs(F.col("qty_sold") - F.col("qty_sold_median")) > 3 * 1.4826 * F.col("qty_sold_mad"))
+    assert whole.count() == 0 and implausible_readings(df).filter("reason = 'spike'").count() == 0
+    assert hampel_flags(df.limit(4)).count() == 0 and hampel_flags(df.limit(0)).count() == 0
+
+
 RAW = "raw_id long, file_id long, feed string, file_name string, received_at timestamp_ntz, line_no int, payload string"
 
 
