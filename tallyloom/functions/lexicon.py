@@ -56,6 +56,12 @@ _EXACT = {w: c for c, words in CONCEPTS.items() for w in words.split()}
 _EXACT["туалетная"] = "bar"
 
 
+def words_of(concepts: Iterable[str]) -> dict[str, str]:
+    """word -> concept, for the words of these concepts."""
+    wanted = set(concepts)
+    return {w: c for w, c in _EXACT.items() if c in wanted}
+
+
 def deletions(word: str) -> set[str]:
     """``word`` and all its forms with one letter removed."""
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}

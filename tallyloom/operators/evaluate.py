@@ -7,12 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.lexicon import SCENTS, words_of
 from tallyloom.functions.text import normal_name, token_set, volume_key
 
 #: Thresholds of the sweep.
 SWEEP = [round(0.70 + 0.02 * k, 2) for k in range(12)]
 #: A word that so many names hold at most is rare. An own value: the engine's is not published.
 RARE_DF = 2
+#: What two names must agree in where it is stated: patterns whose first group is compared, all hits of a name as a set. Own ones, as the engine's
+#: bodies are not published.
+SIGNATURES = {
+    "layers": r"([0-9])\s*-?\s*(?:сло[йяе]|сл[.,; ]|сл$|ply)",
+    "rolls": r"([0-9]+)\s*(?:рул|roll)",
+    "shade": r"(?:тон|оттенок|shade|№)\s*([0-9]+(?:[.,/][0-9]+)?)",
+    "dye": r"(?:^|[ (])([0-9]{1,2}[/-][0-9]{1,3})(?:$|[ ),])",
+    "count": r"([0-9]+)\s*(?:таб|капс|саше|пар[ыа]?(?:$| ))",
+}
+#: Concepts of which two names that both state some must share one: sorts of product, and scents and colours.
+TYPES = (
+    "soap", "gel", "shampoo", "balm", "cream", "powder", "paste", "toothpaste", "rinse", "mouthwash", "softener", "conditioner", "tablets", "salt", "tea", "soda", "water", "wipes",
+    "paper", "diapers", "cotton_pads", "cotton_wool",
+)
+VARIANTS = (*SCENTS, "white", "color", "black", "baby")
 
 
 def document_frequency(names: DataFrame, column: str) -> DataFrame:
@@ -76,13 +92,41 @@ def with_rarest(pairs: DataFrame, a: str, b: str, corpus: DataFrame | None = Non
     return pairs.join(differing.join(df, "token").groupBy(a, b).agg(F.min("df").alias("rarest")), [a, b], "left")
 
 
-def gated(pairs: DataFrame, a: str, b: str, threshold: float = 0.86, rare_df: int = RARE_DF) -> DataFrame:
-    """Adds ``prediction`` and ``reason``: sizes that differ are a non-match, a likeness below the threshold too, else a match; different numbers
-    in the names, or a differing word that at most ``rare_df`` names hold (``rarest``), make it a case for review."""
-    sizes = volume_key(F.col(a)) != volume_key(F.col(b))
-    numbers = [F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+)"), F.lit(1)))) for c in (F.col(a), F.col(b))]
-    reason = F.when(sizes, "size").when(F.col("score") < threshold, "score").when(numbers[0] != numbers[1], "numbers").when(F.col("rarest") <= rare_df, "rare").otherwise("none")
-    prediction = F.when(F.col("reason").isin("size", "score"), "non-match").when(F.col("reason").isin("numbers", "rare"), "review").otherwise("match")
+def signature(name: Column, pattern: str) -> Column:
+    """The different hits of a pattern in a name, sorted; empty for null."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(pattern), F.lit(1))))
+
+
+def concepts_in(name: Column, concepts: Sequence[str]) -> Column:
+    """The concepts (of these) whose words stand in a name."""
+    words = F.create_map(*(F.lit(x) for w, c in words_of(concepts).items() for x in (w, c)))
+    tokens = F.split(F.translate(F.lower(F.coalesce(name, F.lit(""))), "ё", "е"), "[^a-zа-я0-9]+")
+    return F.array_distinct(F.array_compact(F.transform(tokens, lambda t: F.try_element_at(words, t))))
+
+
+def conflict(a: Column, b: Column) -> Column:
+    """Whether two arrays both hold something and nothing in common."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
+def gated(pairs: DataFrame, a: str, b: str, threshold: float = 0.86, rare_df: int = RARE_DF, brands: tuple[str, str] | None = None, subbrands: Sequence[str] = ()) -> DataFrame:
+    """Adds ``prediction`` and ``reason``, the first that holds.
+
+    Hard gates make a non-match: sizes, layers, rolls, shades, dye codes or counts that differ, sorts of product or variants that have nothing
+    in common. So does a likeness below the threshold. Soft gates make a case for review: brands (columns ``brands``) that both are stated and
+    differ, different numbers, a differing word that is one of ``subbrands`` or that at most ``rare_df`` names hold (``rarest``). Else it is a match.
+    """
+    x, y = F.col(a), F.col(b)
+    hard = {"size": volume_key(x) != volume_key(y)} | {k: signature(x, p) != signature(y, p) for k, p in SIGNATURES.items()}
+    hard |= {"type": conflict(concepts_in(x, TYPES), concepts_in(y, TYPES)), "variant": conflict(concepts_in(x, VARIANTS), concepts_in(y, VARIANTS)), "score": F.col("score") < threshold}
+    soft = {"numbers": signature(x, "([0-9]+)") != signature(y, "([0-9]+)"), "rare": F.col("rarest") <= rare_df}
+    if subbrands:
+        soft = {"subbrand": F.arrays_overlap(differing_tokens(pairs, a, b), F.array(*map(F.lit, subbrands)))} | soft
+    if brands:
+        one, other = (F.nullif(F.lower(F.trim(F.col(c))), F.lit("")) for c in brands)
+        soft = {"brand": one != other} | soft
+    reason = F.coalesce(*(F.when(c, F.lit(k)) for k, c in (hard | soft).items()), F.lit("none"))
+    prediction = F.when(F.col("reason").isin(*hard), "non-match").when(F.col("reason").isin(*soft), "review").otherwise("match")
     return pairs.withColumn("reason", reason).withColumn("prediction", prediction)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.lexicon import words_of
 from tallyloom.functions.text import composite_key, is_blank, jaccard, key_seed, normal_category, normal_name, to_number, token_set, transliterate, volume_key
 from tallyloom.operators import analytics as a
 from tallyloom.operators import anonymize as an
@@ -315,6 +316,30 @@ select n.id listing_id, case when v.name is not null then v.name when o.name is
 from n left join v using (id) left join o using (id) left join w using (id)"""
 
 
+def _tfidf(names: str) -> str:
+    """Weights of the 2- to 4-grams within words of the normalised names of a select of different ``t``."""
+    grams = " || ".join(f"list_transform(range(1, greatest(length(w) + 2 - {n} + 2, 1)), lambda i: substr(' ' || w || ' ', i, {n}))" for n in (2, 3, 4))
+    return f"""names as (select t, {_normal("t")} z from ({names}) where t is not null),
+grams as (select t, unnest(list_concat({grams.replace(" || list_transform", ", list_transform")})) gram from (select t, unnest(list_filter(string_split_regex(lower(z), '\\s+'), lambda w: w <> '')) w from names)),
+tf as (select t, gram, count(*) tf from grams group by all), dfs as (select gram, count(distinct t) df from grams group by 1),
+w as (select t, gram, tf * (ln((1 + (select count(*) from names))::double / (1 + df)) + 1) w from tf join dfs using (gram)),
+v as (select t, gram, w / sqrt(sum(w * w) over (partition by t)) w from w)"""
+
+
+_SCORED = """dots as (select a, b, sum(x.w * y.w) dot from (select distinct a, b from lp) join v x on x.t = a join v y on y.t = b and y.gram = x.gram group by all),
+scored as (select lp.*, coalesce(dot, 0.0) score from lp left join dots using (a, b))"""
+
+
+def _signature(x: str, pattern: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all(lower({x}), '{pattern}', 1)))"
+
+
+def _conflict(concepts) -> str:
+    listed = ", ".join(f"'{w}': '{c}'" for w, c in words_of(concepts).items())
+    of = lambda x: f"list_filter(list_transform(regexp_split_to_array(translate(lower({x}), 'ё', 'е'), '[^a-zа-я0-9]+'), lambda t: map {{{listed}}}[t]), lambda c: c is not null)"
+    return f"(len({of('s.a')}) > 0 and len({of('s.b')}) > 0 and not list_has_any({of('s.a')}, {of('s.b')}))"
+
+
 _CATS = "array_to_string(list_filter([category_0, category_1, category_2, category_3, category_4], lambda c: c is not null), ' ')"
 
 ORACLE = {
@@ -364,6 +389,21 @@ select nm "name", canonical_name from h join k using (grp) where nm <> canonical
     "new_keys_anti": "with k as (select listing_id, item_name \"name\", brand, lower(trim(coalesce(item_name, ''))) || '|||' || lower(trim(coalesce(brand, ''))) key from listings) select listing_id, \"name\", brand from k where key not in (select key from k where listing_id % 4 = 0) and key not in (select key from k where listing_id % 5 = 0)",
     "override_precedence": "with k as (select listing_id, item_name \"name\", brand, lower(trim(coalesce(item_name, ''))) || '|||' || lower(trim(coalesce(brand, ''))) key from listings) select listing_id, \"name\", brand, case when key in (select key from k where listing_id % 3 = 0) then 'ручная' when key in (select key from k where listing_id % 2 = 0) then 'из кэша' else '' end target_category, case when key in (select key from k where listing_id % 3 = 0) then 1.0 when key in (select key from k where listing_id % 2 = 0) then 0.5 else 0.0 end::double category_confidence from k",
     "token_alerts": f"with {_LABELLED}, t as (select label, {_tokens(_normal('a'))} x, {_tokens(_normal('b'))} y from lp), d as (select unnest(list_distinct(list_concat(list_filter(x, lambda i: not list_contains(y, i)), list_filter(y, lambda i: not list_contains(x, i))))) token from t where label = 'non-match') select token, count(*) n from d where length(token) >= 3 and token not in (select unnest(x) from t where label = 'match') group by 1 having count(*) > 2",
+    "confusion_sweep": f"""with {_LABELLED}, {_tfidf("select a t from lp union select b from lp")},
+{_SCORED}
+select h::double / 100 threshold, count(*) filter (p and y) tp, count(*) filter (p and not y) fp, count(*) filter (not p and y) fn, count(*) filter (not p and not y) tn,
+ coalesce(tp::double / nullif(tp + fp, 0), 0) "precision", coalesce(tp::double / nullif(tp + fn, 0), 0) recall, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) f1
+from (select h, label = 'match' y, score >= h::double / 100 p from scored, generate_series(70, 92, 2) g(h)) group by h""",
+    "gated_pairs": f"""with {_LABELLED}, {_tfidf("select a t from lp union select b from lp union select trim(item_name) from listings where item_name is not null and trim(item_name) <> '' and lower(trim(item_name)) <> 'nan'")},
+{_SCORED},
+tok as (select token, count(*) df from (select t, unnest({_tokens("z")}) token from names) group by 1),
+d as (select a, b, {_tokens(_normal("a"))} x, {_tokens(_normal("b"))} y from (select distinct a, b from lp)),
+diff as (select a, b, unnest(list_distinct(list_concat(list_filter(x, lambda i: not list_contains(y, i)), list_filter(y, lambda i: not list_contains(x, i))))) token from d),
+rare as (select a, b, min(df) rarest from diff join tok using (token) group by all),
+g as (select s.*, case when {_volume("s.a")} <> {_volume("s.b")} then 'size' {" ".join(f"when {_signature('s.a', p)} <> {_signature('s.b', p)} then '{k}'" for k, p in ev.SIGNATURES.items())}
+ when {_conflict(ev.TYPES)} then 'type' when {_conflict(ev.VARIANTS)} then 'variant' when score < 0.86 then 'score' when {_signature('s.a', '([0-9]+)')} <> {_signature('s.b', '([0-9]+)')} then 'numbers'
+ when rarest <= {ev.RARE_DF} then 'rare' else 'none' end reason from scored s left join rare r on r.a = s.a and r.b = s.b)
+select label, case when reason = 'none' then 'match' when reason in ('numbers', 'rare') then 'review' else 'non-match' end prediction, reason, count(*) "count" from g group by all""",
     "command_filter": "select event_id from events where event_type = 'purchase'",
     "event_windows": "select date_trunc('day', ts) \"start\", event_type, count(*) n, sum(value::decimal(20,6))::double total from events group by all",
 }
@@ -395,6 +435,13 @@ _PSEUDONYMS = {
     "store": _pseudonyms("store_code", f"'Магазин ' || {_initcap(_word('key', 'n'))}", " "),
     "company": _pseudonyms("supplier", f"'Фирма ' || {_initcap(_word('key', 'c'))}", " "),
 }
+_APPLIED = f"""with src as ({ORACLE["classify_src"]}), nam as ({ORACLE["classify_name"]}),
+k as (select listing_id id, item_name nm, lower(trim(coalesce(item_name, ''))) || '|||' || lower(trim(coalesce(brand, ''))) key from listings),
+t as (select k.*, coalesce(src.target, nam.target) target, case when src.target is not null then src.conf else nam.conf end conf from k join src on src.listing_id = id join nam on nam.listing_id = id),
+c as (select key, arg_min(struct_pack(t := target, c := conf), (target = '', id, nm)) x from t where nm is not null and trim(nm) <> '' and lower(trim(nm)) <> 'nan' group by key)
+select id listing_id, coalesce(x.t, '') target_category, coalesce(x.c, 0.0)::double category_confidence from k left join c using (key)"""
+ORACLE["apply_categories"] = _APPLIED
+ORACLE["low_confidence_queue"] = f"select * from ({_APPLIED}) where category_confidence < 0.70"
 ORACLE |= {f"anonymize_{name}": _sales_sql(f"select key, pseudonym from {q}") for name, q in _PSEUDONYMS.items()}
 _SEED = "('0x' || substr(md5({}), 1, 8))::bigint"
 ORACLE["anonymize_measures"] = _sales_sql(
