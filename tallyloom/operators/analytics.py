@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import is_blank
-
-#: Buckets of a distributed running total.
-BUCKETS = 64
+from tallyloom.session import cut
 
 
 def measure(name: str) -> Column:
@@ -96,20 +94,17 @@ def top(df: DataFrame, key: str, n: int = 15, name: str = "revenue", width: int
 def running_total(df: DataFrame, value: str, key: str) -> DataFrame:
     """Adds ``running`` (sum of ``value`` from the greatest down, ties by key) and ``whole`` without sorting everything in one task.
 
-    Rows are put into BUCKETS value ranges; a window runs inside each, and the ranges' totals, at most BUCKETS rows, are added to it.
+    Rows are put into ranges of value and key, as many as the session has shuffle partitions, so that a value shared by very many keys is
+    split as well; a window runs inside each range, and the ranges' totals, one row each, are added to it.
     """
-    cuts = [k / BUCKETS for k in range(1, BUCKETS)]
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), cuts, 1000).alias("_edges"))
-    with_edges = df.crossJoin(F.broadcast(edges))  # one row of bounded length
-    of = F.size(F.filter("_edges", lambda e: e > F.col(value).cast("double")))
-    rows = with_edges.withColumn("_bucket", F.coalesce(of, F.lit(0))).drop("_edges")
-    totals = rows.groupBy("_bucket").agg(F.sum(value).alias("_total"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"), F.sum("_total").over(everything).alias("whole"))
-    inside = Window.partitionBy("_bucket").orderBy(F.desc(value), key).rowsBetween(Window.unboundedPreceding, 0)
-    j = rows.withColumn("_run", F.sum(value).over(inside)).join(F.broadcast(starts), "_bucket")
-    return j.withColumn("running", F.col("_run") + F.col("_start")).drop("_bucket", "_run", "_start")
+    rows = cut(df.repartitionByRange(F.desc(value), F.col(key)).withColumn("_range", F.spark_partition_id()))
+    totals = rows.groupBy("_range").agg(F.sum(value).alias("_total"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"), F.sum("_total").over(everything).alias("whole"))
+    inside = Window.partitionBy("_range").orderBy(F.desc(value), key).rowsBetween(Window.unboundedPreceding, 0)
+    j = rows.withColumn("_run", F.sum(value).over(inside)).join(F.broadcast(starts), "_range")  # one row per range
+    return j.withColumn("running", F.col("_run") + F.col("_start")).drop("_range", "_run", "_start")
 
 
 def abc(df: DataFrame, key: str, name: str = "revenue") -> DataFrame:
@@ -134,15 +129,16 @@ def period_moments(df: DataFrame, key: str, period: str, name: str, last: bool)
     axis = sums(df, [period], name).agg(F.count("*").alias("periods"), F.max(period).alias("last_period"))
     j = s.crossJoin(F.broadcast(axis))  # one row
     inside = F.lit(True) if not last else F.col(period) < F.col("last_period")
-    base = F.when(inside, F.col("v")).otherwise(0.0)
+    base = F.when(inside, F.col("v"))
     g = j.groupBy(key).agg(
-        F.max("periods").alias("periods"), F.sum(base).alias("t"), F.sum(base * base).alias("q"),
+        F.max("periods").alias("periods"), F.count(base).alias("k"), F.avg(base).alias("m"), F.var_pop(base).alias("s2"),
         F.sum(F.when(F.col(period) == F.col("last_period"), F.col("v")).otherwise(0.0)).alias("last_value"),
     )
     n = F.col("periods") - (1 if last else 0)
-    mean = F.col("t") / n
-    variance = F.try_divide(F.col("q") - F.col("t") * F.col("t") / n, n - 1)
-    return g.select(key, "periods", mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"), "last_value")
+    m, k = F.coalesce("m", F.lit(0.0)), F.col("k")
+    # squared deviations of the periods that are there, and of the zeros' mean from theirs: sums of squares, so nothing cancels
+    squares = F.coalesce("s2", F.lit(0.0)) * k + m * m * k * (n - k) / n
+    return g.select(key, "periods", (m * k / n).alias("mean"), F.sqrt(F.try_divide(squares, n - 1)).alias("std"), "last_value")
 
 
 def xyz(df: DataFrame, key: str, period: str, name: str = "revenue") -> DataFrame:

@@ -198,3 +198,15 @@ def test_many_keys_of_one_word(spark, monkeypatch):
     monkeypatch.setattr(an, "SYLLABLES", 1)
     keys = spark.range(2000).select(F.col("id").cast("string").alias("b"))
     assert an.pseudonyms(keys, "b", "brands").select("pseudonym").distinct().count() == 2000
+
+
+def test_spread_of_great_values_does_not_cancel(spark):
+    rows = items(spark, [[1e9, 1e9 + 1, 1e9 + 2, 1e9 + 1]])
+    r = a.period_moments(rows, "item_name", "period", "revenue", last=False).first()
+    assert r.mean == pytest.approx(1e9 + 1) and r.std == pytest.approx(math.sqrt(2 / 3), rel=1e-6)
+
+
+def test_running_total_splits_equal_values(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("k"), F.lit(7).cast("long").alias("v"))
+    got = {r.k: r.running for r in a.running_total(rows, "v", "k").collect()}
+    assert got == {f"k{i:04}": 7 * (i + 1) for i in range(1000)}
