@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,19 @@ def names_of(rows: DataFrame, order: str) -> DataFrame:
     return named.groupBy("name").agg(F.min_by("brand", "o").alias("brand"), F.count("*").alias("freq"), F.min("o").alias("first_seen"))
 
 
+def names_of_all(frames: Sequence[DataFrame], order: str) -> DataFrame:
+    """As ``names_of`` over several tables together: every row counts, and rows of an earlier table come first. Tables without ``item_name`` have no names."""
+    rows = None
+    for k, f in enumerate(frames):
+        if "item_name" in f.columns:
+            brand = F.col("brand").cast("string") if "brand" in f.columns else F.lit(None).cast("string")
+            part = f.select(F.col("item_name").cast("string").alias("item_name"), brand.alias("brand"), F.struct(F.lit(k).alias("table"), F.col(order).cast("long").alias("row")).alias("_at"))
+            rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        raise ValueError("no table has names")
+    return names_of(rows, "_at").withColumn("first_seen", F.col("first_seen.row") + F.col("first_seen.table") * F.lit(1 << 40))
+
+
 def with_blocks(names: DataFrame) -> DataFrame:
     """Adds ``tokens`` and ``block``: the first word of the normalised name (the brand if it has none) and the volume key."""
     n = names.select("*", F.explode(F.array(normal_name(F.col("name")))).alias("normal"))

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import json
 import shutil
-import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from tallyloom.session import ensure_checkpoint_dir
+from tallyloom.sources.colmap import map_headers
 from tallyloom.sources.xlsx import XlsxSource
 
 SUFFIXES = (".xlsx", ".xls", ".xlsm", ".xlsb", ".csv", ".tsv", ".parquet")
 #: Bytes of a file's head that tell the separator.
 HEAD = 4096
+#: Fields whose values are codes.
+CODES = ("store_code", "item_code", "barcode")
 
 
 #: The upper half of the Cyrillic code page: each byte as Latin-1 reads it, and what it means.
@@ -59,7 +64,14 @@ def read_text_table(spark: SparkSession, path: str, separator: str | None = None
     enc = encoding_of(spark, path)
     text = head.decode({"UTF-8": "utf-8-sig", "windows-1251": "cp1251", "ISO-8859-1": "latin-1"}[enc], errors="ignore")
     one_byte = enc == "windows-1251"  # not among Spark's encodings: read byte by byte, then the upper half is put right
-    df = spark.read.csv(path, sep=separator or separator_of(text), header=True, inferSchema=True, encoding="ISO-8859-1" if one_byte else enc)
+    reader = spark.read.options(sep=separator or separator_of(text), header=True, encoding="ISO-8859-1" if one_byte else enc)
+    df = reader.option("inferSchema", True).csv(path)
+    # codes and barcodes stay text, leading zeros included
+    names = {c: (c.encode("latin-1", "replace").decode("cp1251", "replace") if one_byte else c).lstrip("\ufeff").strip() for c in df.columns}
+    codes = {h for h, f in map_headers(list(names.values())).items() if f in CODES}
+    if any(n in codes and kind != "string" for (_, kind), n in zip(df.dtypes, names.values())):
+        schema = StructType([StructField(f.name, StringType() if names[f.name] in codes else f.dataType) for f in df.schema])
+        df = reader.schema(schema).csv(path)
     if one_byte:
         raw = [c.encode("latin-1", "replace").decode("cp1251", "replace") for c in df.columns]
         kinds = dict(df.dtypes)
@@ -83,13 +95,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bytes(spark: SparkSession, name: str, data: bytes) -> DataFrame:
-    """An uploaded file: written to a temporary one and read by its suffix; delimited text with broken characters is repaired first."""
-    folder = Path(tempfile.mkdtemp(prefix="tallyloom-"))
-    path = folder / Path(name).name
-    if path.suffix.lower() not in SUFFIXES:
-        path = path.with_suffix(".csv")
-    path.write_bytes(data.decode("utf-8", errors="replace").encode() if path.suffix.lower() in (".csv", ".tsv") else data)
-    return read_table(spark, str(path))
+    """An uploaded file: written into the shared checkpoint folder, where every executor can read it, and read by its suffix; delimited text with
+    broken characters is repaired first."""
+    at = Path(Path(name).name)
+    if at.suffix.lower() not in SUFFIXES:
+        at = at.with_suffix(".csv")
+    path = f"{ensure_checkpoint_dir(spark)}/upload-{uuid.uuid4().hex}/{at.name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data.decode("utf-8", errors="replace").encode() if at.suffix.lower() in (".csv", ".tsv") else data))
+    finally:
+        out.close()
+    return read_table(spark, path)
 
 
 def source_files(folder: str) -> list[str]:
@@ -97,6 +115,11 @@ def source_files(folder: str) -> list[str]:
     return sorted(str(p) for p in Path(folder).iterdir() if p.suffix.lower() in SUFFIXES)
 
 
+def newest_first(folder: str, prefix: str = "merged_") -> list[str]:
+    """The result files of a folder, the latest first by the time in their names, then by name."""
+    return sorted((str(p) for p in Path(folder).iterdir() if p.name.startswith(prefix)), key=lambda p: Path(p).name, reverse=True)
+
+
 def read_folder(spark: SparkSession, folder: str) -> tuple[list[tuple[str, DataFrame]], dict[str, str]]:
     """(name, table with ``source_file``) of every readable file, and the message of each that is not."""
     tables, failed = [], {}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyloom.sources.xlsx import write_xlsx
 
@@ -22,13 +24,31 @@ def save(df: DataFrame, folder: str, name: str = "", now: datetime | None = None
 
 
 def save_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header and a byte-order mark, streamed through the driver partition by partition."""
-    import csv
+    """One CSV file with a header and a byte-order mark, in the order of the table.
 
-    with Path(path).open("w", encoding="utf-8-sig", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(df.columns)
-        w.writerows(tuple(r) for r in df.toLocalIterator())
+    Executors write the parts; only their bytes are then put behind each other, through Spark's file systems, so no row passes through the
+    driver's memory.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = f"{path}.parts"
+    texts = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
+    texts.write.mode("overwrite").option("lineSep", "\r\n").option("quoteAll", False).option("escape", '"').option("emptyValue", "").csv(parts)
+    folder, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (parts, path))
+    fs = target.getFileSystem(conf)
+    header = io.StringIO()
+    csv.writer(header).writerow(df.columns)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(header.getvalue().encode("utf-8-sig")))
+        for status in sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(folder)):
+            if status[0].startswith("part-"):
+                source = fs.open(status[1])
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+                source.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def save_workbook(path: str, sheets: dict[str, DataFrame]) -> None:

@@ -1,4 +1,4 @@
-"""XLSX workbooks without further libraries: a Spark data source that reads the first sheet, and a writer for small results."""
+"""XLSX and XLSB workbooks without further libraries: a Spark data source that reads the first sheet, and a writer for small results."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tallyloom.sources.xlsb import is_xlsb, xlsb_rows
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _TAG = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -33,8 +35,11 @@ def first_sheet(book: zipfile.ZipFile) -> str:
 def rows_of(path: str) -> Iterator[list[str | None]]:
     """Rows of the first sheet as text, read as a stream."""
     if not zipfile.is_zipfile(path):
-        raise ValueError("not an .xlsx workbook; binary workbooks need a library that is not installed")
+        raise ValueError("not a workbook of the zip form; the older binary form (.xls) needs a library that is not installed")
     with zipfile.ZipFile(path) as book:
+        if is_xlsb(book):
+            yield from xlsb_rows(book)
+            return
         shared: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
             with book.open("xl/sharedStrings.xml") as f:
