@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 from tallyloom.sources.colmap import look, map_headers
 from tallyloom.sources.schema import FIELDS
 
-#: The type lattice: the type of a field over all files is the highest that any of its filled values has.
-LATTICE = ("void", "bigint", "double", "string")
+#: The kinds of a value, each with a bit: what is seen of a field in any set of files is the union of the bits.
+KINDS = {"boolean": 1, "bigint": 2, "double": 4, "date": 8, "timestamp": 16, "string": 32, "nested": 64}
+#: The type lattice: void below all; bigint below double, date below timestamp; string above all (nested values are kept as their text).
+ABOVE = {"boolean": ("boolean",), "double": ("bigint", "double"), "bigint": ("bigint",), "timestamp": ("date", "timestamp"), "date": ("date",)}
+
+
+def least_type(bits: Column) -> Column:
+    """The least type of the lattice that is above all kinds seen."""
+    c = F.when(bits == 0, "void")
+    for t in ("boolean", "bigint", "double", "date", "timestamp"):
+        under = sum(KINDS[k] for k in ABOVE[t])
+        c = c.when(bits.bitwiseOR(F.lit(under)) == F.lit(under), t)
+    return c.otherwise("string")
 
 
 def headers_of_files(extracts: DataFrame) -> DataFrame:
@@ -26,10 +37,16 @@ def headers_of_files(extracts: DataFrame) -> DataFrame:
     filled = ~kind.isin("VOID") & ~((kind == "STRING") & (F.trim(F.expr("try_variant_get(value, '$', 'string')")) == ""))
     whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
     number = whole | kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    rows = keys.select("file_id", "feed", "received_at", "key", filled.alias("f"), number.alias("n"), whole.alias("w"), (kind == "STRING").alias("s"))
+    text = F.when(kind == "STRING", F.trim(F.expr("try_variant_get(value, '$', 'string')")))
+    seen = (
+        F.when(~filled, 0).when(kind == "BOOLEAN", KINDS["boolean"]).when(whole, KINDS["bigint"]).when(number, KINDS["double"])
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), KINDS["date"]).when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), KINDS["timestamp"])
+        .when(kind == "STRING", KINDS["string"]).otherwise(KINDS["nested"])
+    )
+    rows = keys.select("file_id", "feed", "received_at", "key", filled.alias("f"), number.alias("n"), (kind == "STRING").alias("s"), seen.alias("k"))
     return rows.groupBy("file_id", "feed", "received_at", "key").agg(
         F.count_if(F.col("n")).alias("numbers"),
-        F.count_if(F.col("n") & ~F.col("w")).alias("fractions"),
+        F.bit_or("k").alias("kinds"),
         F.count_if(F.col("f") & F.col("s")).alias("strings"),
         F.count_if(F.col("f")).alias("filled"),
     )
@@ -82,6 +99,19 @@ def schema_changes(extracts: DataFrame) -> DataFrame:
     return both.select("feed", "file_id", "received_at", "field", F.explode(changes).alias("change"), "before", "now")
 
 
+def promotions(extracts: DataFrame) -> DataFrame:
+    """(feed, file_id, received_at, field, before, after): each time a file makes the type of a field of its feed rise in the lattice.
+
+    The types of the files of a feed are folded in the order of their reception. A field's first type is no rise, but void is (a field that had no
+    filled value before). A task has the files of one feed and field.
+    """
+    order = Window.partitionBy("feed", "field").orderBy("received_at", "file_id")
+    seen = fields_of_files(headers_of_files(extracts)).select("feed", "file_id", "received_at", "field", "kinds")
+    run = seen.withColumn("after", least_type(F.bit_or("kinds").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    run = run.withColumn("before", F.lag("after").over(order))
+    return run.filter("before <> after").select("feed", "file_id", "received_at", "field", "before", "after")
+
+
 def unified(extracts: DataFrame) -> DataFrame:
     """All lines as one table: raw_id, file_id, line_no and every canonical field, in the type that the lattice gives it.
 
@@ -89,8 +119,7 @@ def unified(extracts: DataFrame) -> DataFrame:
     """
     headers = headers_of_files(extracts)
     fields = fields_of_files(headers)
-    level = F.when(F.col("strings") > 0, 3).when(F.col("fractions") > 0, 2).when(F.col("numbers") > 0, 1).otherwise(0)
-    types = {r["field"]: LATTICE[r["level"]] for r in fields.groupBy("field").agg(F.max(level).alias("level")).collect()}
+    types = {r["field"]: r["type"] for r in fields.groupBy("field").agg(least_type(F.bit_or("kinds")).alias("type")).collect()}
     of_file = fields.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "key"))).alias("_header"))
     lines = extracts.select("raw_id", "file_id", "line_no", F.from_json("payload", "map<string,string>").alias("_values"))
     j = lines.join(of_file, "file_id", "left")
@@ -98,5 +127,5 @@ def unified(extracts: DataFrame) -> DataFrame:
     for f in FIELDS:
         text = F.try_element_at("_values", F.try_element_at("_header", F.lit(f)))
         kind = types.get(f, "string")
-        columns.append((text.try_cast(kind) if kind in ("bigint", "double") else text).alias(f))
+        columns.append((text if kind in ("string", "void") else text.try_cast(kind)).alias(f))
     return j.select("raw_id", "file_id", "line_no", *columns)

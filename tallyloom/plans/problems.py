@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.periods import iso_year_week
-from tallyloom.operators.drift import schema_changes, unified
+from tallyloom.operators.drift import promotions, schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
 from tallyloom.operators.spikes import hampel_flags, implausible_readings
 from tallyloom.operators.units import contents
@@ -56,6 +56,11 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unified(table(spark, folder, "raw_extracts"))
 
 
+def p4_promotions(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that make the type of a field of their feed rise."""
+    return promotions(table(spark, folder, "raw_extracts")).select("file_id", "field", "before", "after")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The content of every listing that states one, in millilitres, grams or pieces."""
     return contents(table(spark, folder, "listings")).filter("amount is not null").select("listing_id", "amount", "base_unit").distinct()
@@ -69,6 +74,7 @@ QUERIES = {
     "p2_hampel_flags": p2_hampel_flags,
     "p4_found": p4_found,
     "p4_unified": p4_unified,
+    "p4_promotions": p4_promotions,
     "p5_found": p5_found,
 }
 

@@ -94,10 +94,16 @@ def merge_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classified_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions with both names and a clear verdict, as labelled pairs."""
+    """Decisions with both names and a clear verdict, as labelled pairs. A spelling that is missing on a row is found by its id on another."""
     v = F.lower(F.trim("verdict"))
-    t = table(spark, d, "name_matches").filter("item_name is not null and canonical_name is not null").filter(v.isin("match", "non-match"))
-    return t.select(F.trim("item_name").alias("a"), F.trim("canonical_name").alias("b"), v.alias("label")).distinct()
+    rows = table(spark, d, "name_matches")
+    sides = (("name_id", "item_name", "a"), ("canonical_id", "canonical_name", "b"))
+    spelled = [rows.select(F.col(i).alias("id"), F.trim(n).alias("s")) for i, n, _ in sides]
+    spelled = spelled[0].unionByName(spelled[1]).filter("id is not null and s is not null").groupBy("id").agg(F.min("s").alias("s"))
+    t = rows.filter(v.isin("match", "non-match")).select("name_id", "item_name", "canonical_id", "canonical_name", v.alias("label"))
+    for i, n, out in sides:
+        t = t.join(spelled.select(F.col("id").alias(i), F.col("s").alias(f"_{out}")), i, "left").withColumn(out, F.coalesce(F.trim(n), f"_{out}"))
+    return t.filter("a is not null and b is not null").select("a", "b", "label").distinct()
 
 
 def confusion_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -285,8 +291,10 @@ def _tokens(x: str) -> str:
     return f"list_distinct(list_filter(string_split({x}, ' '), lambda t: t <> ''))"
 
 
-_LABELLED = """lp as (select distinct trim(item_name) a, trim(canonical_name) b, lower(trim(verdict)) label from name_matches
- where item_name is not null and canonical_name is not null and lower(trim(verdict)) in ('match', 'non-match'))"""
+_LABELLED = """sp as (select i, min(s) s from (select name_id i, trim(item_name) s from name_matches union all select canonical_id, trim(canonical_name) from name_matches)
+ where i is not null and s is not null group by i),
+lp as (select distinct coalesce(trim(item_name), x.s) a, coalesce(trim(canonical_name), y.s) b, lower(trim(verdict)) label from name_matches left join sp x on x.i = name_id left join sp y on y.i = canonical_id
+ where coalesce(trim(item_name), x.s) is not null and coalesce(trim(canonical_name), y.s) is not null and lower(trim(verdict)) in ('match', 'non-match'))"""
 
 _STOP = "'средство','средства','для','и','в','на','с','по','от','уход','за','а','не','при','из'"
 

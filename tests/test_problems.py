@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.lexicon import concept, kind_of, one_edit, words
 from tallyloom.functions.measures import UNITS, convert, parse_content, quantity_of
 from tallyloom.functions.periods import first_week, with_iso_week
-from tallyloom.operators.drift import schema_changes, unified
+from tallyloom.operators.drift import promotions, schema_changes, unified
 from tallyloom.operators.rolling import rolling_totals, weekly_totals
 from tallyloom.operators.spikes import hampel, hampel_flags, hampel_of_all, implausible_readings
 from tallyloom.operators.units import category_kinds, contents, measured, readings
@@ -143,6 +143,18 @@ def test_schema_changes(spark):
     assert schema_changes(spark.createDataFrame([], RAW)).count() == 0 and unified(spark.createDataFrame([], RAW)).count() == 0
 
 
+def test_promotions(spark):
+    day = lambda d: dt.datetime(2021, 1, d)
+    values = ['{"Вес": null, "Неделя": "2021-01-04", "Бренд": true, "Регион": 1}', '{"Вес": 5, "Неделя": "2021-01-04", "Бренд": true, "Регион": {"a": 1}}', '{"Вес": 5.5, "Неделя": "2021-01-04 10:00", "Бренд": 1}', '{"Вес": 1, "Неделя": "x"}']
+    df = spark.createDataFrame([(k, k, "a", "f", day(k + 1), 1, v) for k, v in enumerate(values)], RAW)
+    got = {(r.file_id, r.field, r.before, r.after) for r in promotions(df).collect()}
+    assert got == {(1, "weight", "void", "bigint"), (2, "weight", "bigint", "double"), (2, "week", "date", "timestamp"), (3, "week", "timestamp", "string"), (2, "brand", "boolean", "string"), (1, "region", "bigint", "string")}
+    types = dict(unified(df).dtypes)
+    assert (types["weight"], types["week"], types["brand"], types["region"]) == ("double", "string", "string", "string")
+    assert dict(unified(df.filter("raw_id <= 2")).dtypes)["week"] == "timestamp" and promotions(df.limit(0)).count() == 0
+    assert [r.region for r in unified(df).orderBy("raw_id").collect()][:2] == ["1", '{"a":1}']
+
+
 def test_headers():
     assert map_headers(["Регион сбыта", "Название точки", "Категория ур. 0", "Комментарий", "Остаток на конец"]) == {"Регион сбыта": "region", "Название точки": "store_name", "Категория ур. 0": "category_0"}
     assert map_headers(["Выручка с НДС", "packaging quantity"]) == {"Выручка с НДС": "sales_rub"}
