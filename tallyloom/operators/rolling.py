@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.periods import with_iso_week
+from tallyloom.functions.periods import EPOCH_MONDAY, with_iso_week
 
 
 def latest_per_step(df: DataFrame, keys: Sequence[str], step: str, value: Column, order: Column) -> DataFrame:
@@ -73,11 +73,18 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+#: Weeks before and after its loading that a row may belong to: a century and a year. Without a bound one slip in a year fills a calendar.
+BEFORE, AFTER = 5218, 53
+
+
 def weekly_sales(sales: DataFrame) -> DataFrame:
-    """Sales rows of a store and item with ``week_no``; rows without store, item or readable week are left out."""
+    """Sales rows of a store and item with ``week_no``; rows without store, item or readable week are left out, and so are those whose week lies more than
+    BEFORE weeks before or AFTER weeks after ``loaded_at``."""
     rows = sales.filter("store_code is not null and item_code is not null")
     rows = rows.select("row_id", "store_code", "item_code", "week", "year", "loaded_at", "qty_sold", "sales_rub", "cost_rub")
-    return with_iso_week(rows, "week", "year", "loaded_at").filter("week_no is not null")
+    loaded = F.floor(F.datediff(F.col("loaded_at").cast("date"), F.lit(EPOCH_MONDAY).cast("date")) / 7)
+    rows = with_iso_week(rows, "week", "year", "loaded_at").filter("week_no is not null")
+    return rows.filter(F.coalesce(F.col("week_no").between(loaded - BEFORE, loaded + AFTER), F.lit(True)))
 
 
 def weekly_totals(sales: DataFrame) -> DataFrame:

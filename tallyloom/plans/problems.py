@@ -85,7 +85,9 @@ e as (select *, case when len(r) = 1 and length(r[1]) = 6 then r[1][1:4] when le
   case when len(r) = 1 and length(r[1]) = 6 then r[1][5:6] when len(r) = 1 then r[1] when len(r) = 2 and length(r[1]) = 4 then r[2] when len(r) = 2 then r[1] end ws from d),
 f as (select *, coalesce(try_cast(ys as int), year, isoyear(loaded_at)::int - (case when try_cast(ws as int) > weekofyear(loaded_at) then 1 else 0 end)) yy,
   try_cast(ws as int) ww from e),
-g as (select *, (date_diff('day', date '1970-01-05', date_trunc('week', make_date(yy, 1, 4))::date) // 7 + ww - 1)::int week_no from f where ww between 1 and 53)"""
+g0 as (select *, (date_diff('day', date '1970-01-05', date_trunc('week', make_date(yy, 1, 4))::date) // 7 + ww - 1)::int week_no,
+  date_diff('day', date '1970-01-05', loaded_at::date) // 7 loaded_week from f where ww between 1 and 53),
+g as (select * exclude (loaded_week) from g0 where coalesce(week_no between loaded_week - 5218 and loaded_week + 53, true))"""
 
 _ROLLING = f"""with {_WEEKS},
 h as (select store_code, item_code, week_no, arg_max(struct_pack(q := coalesce(round(qty_sold)::bigint, 0), s := coalesce(round(sales_rub * 100)::bigint, 0)), (loaded_at, row_id)) v from g group by all),

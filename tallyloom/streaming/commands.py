@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,39 @@ def run_on_commands(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def kafka_publisher(spark: SparkSession, servers: str, topic: str = "etl-results") -> Callable[[str], None]:
+    """A ``publish`` for ``run_on_commands`` that writes each result as one message of a topic. Needs Spark's Kafka package."""
+
+    def publish(text: str) -> None:
+        message = spark.createDataFrame([(text,)], "value string")
+        message.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+    return publish
+
+
+def kept_running(start: Callable[[], StreamingQuery], wait: float = 5.0, longest: float = 300.0, attempts: int | None = None) -> int:
+    """Starts a stream again whenever it fails, such as while a broker is away, after a pause that doubles up to ``longest`` seconds.
+
+    Gives the number of restarts when a query ends by itself. After ``attempts`` failures behind each other, each without a finished batch, the
+    last one is raised. The checkpoint makes a restart go on where the query broke off.
+    """
+    restarts, failures = 0, 0
+    while True:
+        query = None
+        try:
+            query = start()
+            query.awaitTermination()
+            return restarts
+        except Exception:
+            progressed = query is not None and query.lastProgress is not None
+            failures = 1 if progressed else failures + 1
+            if attempts is not None and failures >= attempts:
+                raise
+            log.warning("the stream broke off; it is started again", exc_info=True)
+            time.sleep(min(longest, wait * 2 ** (failures - 1)))
+            restarts += 1
+
+
 def windowed(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts and sums of events per type and time window; what comes later than ``late`` is dropped. Works on streams and tables."""
     e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)

@@ -72,6 +72,11 @@ def test_rolling_against_brute_force(spark):
     assert n == len(got)
 
 
+def test_a_slip_in_a_year_makes_no_calendar(spark):
+    rows = [("2021-W01", None, 1, 1, 1.0, 1.0, 1.0, 0), ("5", 9999, 1, 1, 1.0, 1.0, 1.0, 0), ("1500-W01", None, 1, 1, 1.0, 1.0, 1.0, 0), ("2021-W03", None, 1, 1, 1.0, 1.0, 1.0, 0)]
+    assert rolling_totals(weekly_totals(sales(spark, rows)), ["store_code", "item_code"], "week_no", {"qty_sold": 1, "sales_rub": 100}).count() == 3
+
+
 def test_empty_sales(spark):
     empty = sales(spark, []) if False else spark.createDataFrame([], SALES)
     assert rolling_totals(weekly_totals(empty), ["store_code", "item_code"], "week_no", {"qty_sold": 1, "sales_rub": 100}).count() == 0

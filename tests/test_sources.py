@@ -7,7 +7,7 @@ import pytest
 from tallyloom.operators.consolidate import canonical, merged
 from tallyloom.sources import read, write
 from tallyloom.sources.xlsx import column_number, write_xlsx
-from tallyloom.streaming.commands import file_messages, run_on_commands
+from tallyloom.streaming.commands import file_messages, kept_running, run_on_commands
 
 
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1251"])
@@ -132,3 +132,24 @@ def test_repeated_batch_skips_finished_commands(spark, tmp_path):
     (tmp_path / "in" / "2.txt").write_text("/merge\n")
     once()  # the next batch counts anew
     assert len(tried) == 5 and [p.name for p in (tmp_path / "cp" / "finished").glob("[0-9]*")] == ["1-0"]
+
+
+def test_streams_are_started_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text("/merge\n")
+    tried = []
+
+    def run(_):
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("broker away")
+        return "out"
+
+    start = lambda: run_on_commands(file_messages(spark, str(tmp_path / "in")), run, lambda _: None, str(tmp_path / "cp"), once=True)
+    assert kept_running(start, wait=0.01) == 2 and len(tried) == 3
+
+    def never():
+        raise OSError("no broker")
+
+    with pytest.raises(OSError):
+        kept_running(never, wait=0.01, attempts=2)
