@@ -18,6 +18,8 @@ LEAST_COVERAGE = 0.5
 WORDS = 3
 #: Share of an item's different shingles that a document must hold to be looked at: half of the text with a slip in every fifth word.
 LEAST_SHINGLES = 0.2
+#: Shingles of an item's prefix that a document must hold; the prefix is longer by as much.
+PREFIX_HITS = 3
 #: Shingles that a stretch of a document as long as the item must hold for them to count.
 LEAST_IN_WINDOW = 2
 
@@ -29,6 +31,11 @@ def reading(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\p{M}", ""), r"[^\p{L}\p{N}]+", " "))
 
 
+def once(column: Column) -> Column:
+    """A column made by an explode of one element, which the optimizer neither merges with its uses nor repeats for each of them."""
+    return F.explode(F.array(column))
+
+
 @lru_cache(maxsize=20_000)
 def _seeds(item: str) -> dict[str, list[int]]:
     return seeds_of(item)
@@ -40,22 +47,24 @@ def _covers(text: pd.Series, item: pd.Series) -> pd.Series:
 
 def shingles(texts: DataFrame, key: str, size: int) -> DataFrame:
     """(key, n, pos, h): the digest of the ``size`` words from each position of ``r`` on; n is the number of words of the text."""
-    words = texts.select(key, F.split("r", " ").alias("ws")).filter(F.size("ws") >= size)
+    words = texts.select(key, once(F.split("r", " ")).alias("ws")).filter(F.size("ws") >= size)
     runs = F.arrays_zip(*(F.slice("ws", F.lit(k + 1), F.size("ws") - size + 1).alias(f"w{k}") for k in range(size)))
     rows = words.select(key, F.size("ws").alias("n"), F.posexplode(runs).alias("pos", "run"))
     return rows.select(key, "n", "pos", F.xxhash64(F.lit(size), *(F.col(f"run.w{k}") for k in range(size))).alias("h"))
 
 
 def ranked_prefix(items: DataFrame, held: DataFrame) -> DataFrame:
-    """(item, h): the rarest shingles of each item, as many as make sure that a document with LEAST_SHINGLES of them all holds one of these.
+    """(item, needed, h): the rarest n - t + needed of an item's n shingles. A document with a share LEAST_SHINGLES of them, which is t, holds ``needed`` of these.
 
     Rarity is the number of documents that hold a shingle, over all documents.
     """
     counts = held.groupBy("h").agg(F.count_distinct("doc").alias("n_docs"))
     ranked = items.select("item", "h").distinct().join(counts, "h", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "h"))).alias("hs"))
     n = F.size("hs")
-    prefix = ranked.select("item", F.explode(F.slice("hs", F.lit(1), (n - F.ceil(n * F.lit(LEAST_SHINGLES)) + 1).cast("int"))).alias("x"))
-    return prefix.select("item", "x.h").filter("x.n_docs > 0")
+    least = F.ceil(n * F.lit(LEAST_SHINGLES))
+    needed = F.least(F.lit(PREFIX_HITS), least)
+    prefix = ranked.select("item", needed.alias("needed"), F.explode(F.slice("hs", F.lit(1), (n - least + needed).cast("int"))).alias("x"))
+    return prefix.select("item", "needed", "x.h").filter("x.n_docs > 0")
 
 
 def within_windows(hits: DataFrame) -> DataFrame:
@@ -88,7 +97,8 @@ def candidates(corpus: DataFrame, read: DataFrame) -> DataFrame:
     of_items = cut(of_items)
     totals = of_items.groupBy("item", "n").agg(m)
     held = cut(of_docs.join(of_items.select("h").distinct(), "h", "left_semi"))
-    met = held.select("doc", "h").join(cut(ranked_prefix(of_items, held)), "h").select("doc", "item").distinct()
+    met = held.select("doc", "h").distinct().join(cut(ranked_prefix(of_items, held)), "h").groupBy("doc", "item", "needed").agg(F.count("*").alias("k"))
+    met = met.filter("k >= needed").select("doc", "item")
     # all shingles of an item in a document that holds one of its prefix: by both keys, so that a common shingle is no hot key
     wanted = met.join(of_items.select("item", "h").distinct(), "item").join(totals, "item")
     return within_windows(wanted.join(held, ["doc", "h"]))
@@ -102,11 +112,11 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     slips allowed, over the whole text; only these documents are normalised again. Null and empty texts hold nothing, an item
     without words or of fewer letters than a seed leaks nowhere, and repeated rows count once. Extra columns do not matter.
     """
-    read = cut(items.select(F.col(item_id).alias("item"), reading(F.col(item_text)).alias("r")).filter("r <> ''").dropDuplicates(["item"]))
-    corpus = docs.select(F.col(doc_id).alias("doc"), reading(F.col(text)).alias("r")).filter("r <> ''")
+    read = cut(items.select(F.col(item_id).alias("item"), once(reading(F.col(item_text))).alias("r")).filter("r <> ''").dropDuplicates(["item"]))
+    corpus = docs.select(F.col(doc_id).alias("doc"), once(reading(F.col(text))).alias("r")).filter("r <> ''")
     found = cut(candidates(corpus, read))
     squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     few = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).join(found, "doc").join(read.select("item", squeezed(F.col("r")).alias("s")), "item")
-    few = few.select("doc", "item", "s", squeezed(reading(F.col("t"))).alias("t")).filter(F.length("t") >= F.length("s") * LEAST_COVERAGE)
+    few = few.select("doc", "item", "s", once(squeezed(reading(F.col("t")))).alias("t")).filter(F.length("t") >= F.length("s") * LEAST_COVERAGE)
     out = few.filter(F.pandas_udf(_covers, "boolean")("t", "s"))
     return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
