@@ -21,8 +21,11 @@ from tallyloom.session import cut
 
 #: Compared within a kind: brand (same, near, differ), variety and content (same, missing, differ).
 FIELDS = ("brand", "variety", "content")
-#: Weight of evidence, in bits, from which a pair is a link: its levels are eight times as frequent among matches as among other pairs of a kind.
-LEAST_BITS = 3.0
+#: How many times as frequent as a spelling a brand a letter away must be for the two to be near: a slip is rarer than what was meant.
+FREQUENT = 5
+#: A pair is a link if its probability is this share at least of that of full agreement, the most that three fields can tell. Brands that are a letter apart
+#: by chance agree otherwise no more than any two brands do, and stay far below; slips in a brand come close to it.
+LEAST_SHARE = 0.25
 _SCHEMA = f"brand string, concepts array<string>, {READINGS}"
 
 
@@ -118,22 +121,24 @@ def candidates(described: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def with_weights(pairs: DataFrame, weights: Weights) -> DataFrame:
-    """``pairs`` with ``bits``: a table of the 27 patterns, joined."""
+    """``pairs`` with ``probability`` and ``share``, its part of the probability of full agreement: a table of the 27 patterns, joined."""
     parts = ("same", "missing", "differ")
-    rows = [(*p, float(weights.bits(p))) for p in product(("same", "near", "differ"), parts, parts)]
-    return pairs.join(F.broadcast(pairs.sparkSession.createDataFrame(rows, ", ".join(f"{f} string" for f in FIELDS) + ", bits double")), list(FIELDS))
+    whole = weights.probability(("same",) * len(FIELDS))
+    rows = [(*p, (x := float(weights.probability(p))), x / whole) for p in product(("same", "near", "differ"), parts, parts)]
+    schema = ", ".join(f"{f} string" for f in FIELDS) + ", probability double, share double"
+    return pairs.join(F.broadcast(pairs.sparkSession.createDataFrame(rows, schema)), list(FIELDS))
 
 
 def product_links(described: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, levels, bits) of the pairs that are links, and (id) of the descriptions that fit several products.
+    """(a, b, levels, probability) of the pairs that are links, and (id) of the descriptions that fit several products.
 
-    A pair is a link from LEAST_BITS on. Something missing fits every product that has the rest, so a description that lacks the content
+    A pair is a link from LEAST_SHARE on. Something missing fits every product that has the rest, so a description that lacks the content
     or the variety is linked only where all its links lead to one such description; where the content is missing the statement of the
     problem takes that as enough, whatever the weights.
     """
     weights = fit(pattern_counts(described, near) or [(("differ",) * len(FIELDS), 1)], ("same", "near"), 0.01, silent=("missing",))
     scored = with_weights(candidates(described, near), weights)
-    links = cut(scored.filter((F.col("bits") >= LEAST_BITS) | ((F.col("content") == "missing") & (F.col("brand") == "same"))))
+    links = cut(scored.filter((F.col("share") >= LEAST_SHARE) | ((F.col("content") == "missing") & (F.col("brand") == "same"))))
     lacking = (F.col("variety") == "missing") | (F.col("content") == "missing")
     part = described.filter("variety is null or content is null").select("id")
     ends = links.filter(lacking)
@@ -143,9 +148,9 @@ def product_links(described: DataFrame, near: DataFrame) -> tuple[DataFrame, Dat
     # equal brands come before near ones
     best = sides.groupBy("id").agg(F.min(F.col("brand") != "same").alias("near_only"))
     chosen = sides.join(best, "id").filter((F.col("brand") != "same") == F.col("near_only"))
-    fits = cut(chosen.groupBy("id").agg(F.min("other").alias("b"), F.max("other").alias("high"), *(F.min(c).alias(c) for c in (*FIELDS, "bits"))))
-    led = fits.filter("b = high").select(F.col("id").alias("a"), "b", *FIELDS, "bits")
-    return links.filter(~lacking).select("a", "b", *FIELDS, "bits").unionByName(led), fits.filter("b <> high").select("id")
+    fits = cut(chosen.groupBy("id").agg(F.min("other").alias("b"), F.max("other").alias("high"), *(F.min(c).alias(c) for c in (*FIELDS, "probability"))))
+    led = fits.filter("b = high").select(F.col("id").alias("a"), "b", *FIELDS, "probability")
+    return links.filter(~lacking).select("a", "b", *FIELDS, "probability").unionByName(led), fits.filter("b <> high").select("id")
 
 
 def same_product(listings: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ def same_product(listings: DataFrame) -> DataFrame:
     keyed = rows.withColumn("content", content_key()).drop("content_base", "pieces")
     known = keyed.filter("brand is not null and kind is not null")
     described = cut(known.groupBy("brand", "kind", "variety", "content").agg(F.min("listing_id").alias("id"), F.countDistinct("listing_id").alias("n")))
-    near = cut(near_words(described.groupBy(F.col("brand").alias("w")).agg(F.sum("n").alias("n"))).filter("w < other").select("w", "other"))
+    near = cut(near_words(described.groupBy(F.col("brand").alias("w")).agg(F.sum("n").alias("n"))).filter(F.col("w") < F.col("other")).filter(F.greatest("n", "other_n") >= F.least("n", "other_n") * FREQUENT).select("w", "other"))
     links, open_ended = product_links(described, near)
     groups = connected_groups(links, "a", "b")
     of = described.join(groups, "id", "left").join(open_ended.withColumn("alone", F.lit(True)), "id", "left")

@@ -310,3 +310,13 @@ def test_wide_table_of_look_alikes(spark, one, other, same):
     df = spark.createDataFrame([(1, one + " хвост"), (2, other + " хвост"), (3, other + " хвост")], "doc_id long, text string")
     got = {tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()}
     assert got == ({(1, 2), (1, 3)} if same else set())
+
+
+def test_brands_that_are_near_by_chance_stay_apart(spark):
+    """Many brands, two of them a letter apart, nothing misspelt: no product holds both."""
+    rng = random.Random(12)
+    brands = ["Альфабет", "Альфавет", *("".join(rng.choice("бвгдкл") + rng.choice("аоуи") for _ in range(4)).capitalize() for _ in range(40))]
+    rows = [(k, f"Шампунь {rng.choice(['лимон', 'мята', 'алоэ', 'мёд', 'шалфей', 'кокос'])} {rng.choice([200, 250, 300, 400, 500, 750])} мл", rng.choice(brands)) for k in range(4000)]
+    df = spark.createDataFrame([(i, i, n, b, None, None, None, None, None, None, None, f"x{i}_1", "x") for i, n, b in rows], LISTING)
+    brand = {i: b for i, _, b in rows}
+    assert all(len({brand[i] for i in g}) == 1 for g in groups_of(df))
