@@ -83,7 +83,9 @@ def weekly_sales(sales: DataFrame) -> DataFrame:
     rows = sales.filter("store_code is not null and item_code is not null")
     rows = rows.select("row_id", "store_code", "item_code", "week", "year", "loaded_at", "qty_sold", "sales_rub", "cost_rub")
     loaded = F.floor(F.datediff(F.col("loaded_at").cast("date"), F.lit(EPOCH_MONDAY).cast("date")) / 7)
-    rows = with_iso_week(rows, "week", "year", "loaded_at").filter("week_no is not null")
+    rows = with_iso_week(rows, "week", "year", "loaded_at")
+    # an explode of one element keeps the optimizer from writing the week out again for each comparison
+    rows = rows.select(*(c for c in rows.columns if c != "week_no"), F.explode(F.array("week_no")).alias("week_no")).filter("week_no is not null")
     return rows.filter(F.coalesce(F.col("week_no").between(loaded - BEFORE, loaded + AFTER), F.lit(True)))
 
 
