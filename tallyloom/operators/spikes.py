@@ -38,8 +38,9 @@ def hampel_of_all(df: DataFrame, keys: Sequence[str], step: str, values: Sequenc
     near = lambda v: F.sort_array(F.array_compact(F.col("_near")[v]))
     df = df.select(*cols, F.inline(F.array(F.struct(*(near(v).alias(f"_{v}") for v in values)))))
     df = df.select(*cols, *(f"_{v}" for v in values), F.inline(F.array(F.struct(*(sorted_median(F.col(f"_{v}")).alias(f"{v}_median") for v in values)))))
-    mad = lambda v: array_median(F.transform(f"_{v}", lambda x: F.abs(x - F.col(f"{v}_median"))))
-    return df.select(*cols, *(f"{v}_median" for v in values), *(mad(v).alias(f"{v}_mad") for v in values))
+    far = lambda v: F.sort_array(F.transform(f"_{v}", lambda x: F.abs(x - F.col(f"{v}_median"))))
+    df = df.select(*cols, *(f"{v}_median" for v in values), F.inline(F.array(F.struct(*(far(v).alias(f"_{v}") for v in values)))))
+    return df.select(*cols, *(f"{v}_median" for v in values), *(sorted_median(F.col(f"_{v}")).alias(f"{v}_mad") for v in values))
 
 
 def medians_of_all(df: DataFrame, keys: Sequence[str], step: str, values: Sequence[str], half_window: int) -> DataFrame:
@@ -47,7 +48,9 @@ def medians_of_all(df: DataFrame, keys: Sequence[str], step: str, values: Sequen
     w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-half_window, half_window)
     cols = df.columns
     df = df.select(*cols, F.collect_list(F.struct(*values)).over(w).alias("_near"))
-    return df.select(*cols, *(array_median(F.array_compact(F.col("_near")[v])).alias(f"{v}_median") for v in values))
+    # each array is sorted once: the inline of one struct is a stage of its own
+    df = df.select(*cols, F.inline(F.array(F.struct(*(F.sort_array(F.array_compact(F.col("_near")[v])).alias(f"_{v}") for v in values)))))
+    return df.select(*cols, *(sorted_median(F.col(f"_{v}")).alias(f"{v}_median") for v in values))
 
 
 def sorted_median(s: Column) -> Column:
